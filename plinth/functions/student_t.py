@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -44,7 +49,7 @@ def two_sided_p(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """p of |T| >= |t| with ``df`` degrees of freedom."""
     values = [two_sided_p(float(a), float(b)) if a == a and b == b else np.nan for a, b in zip(t, df)]
