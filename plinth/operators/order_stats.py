@@ -56,67 +56,69 @@ def quantiles(df: DataFrame, keys: Sequence[str],
 
     columns = list(wanted)
     names = [name for probs in wanted.values() for name in probs]
-    long = df.select(
-        *keys,
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("m"), finite(col).alias("v")) for i, col in enumerate(columns)
-        ])).alias("__mv"),
-    ).select(*keys, F.col("__mv.m").alias("__m"), F.col("__mv.v").alias("__v")).where("__v IS NOT NULL")
-    long = long.withColumn("__cell", value_cell(F.col("__v")))
-
-    group = [*keys, "__m"]
-    per_group = Window.partitionBy(*group)
-    running = per_group.orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (long.groupBy(*group, "__cell").agg(F.count("*").alias("__n"))
-             .withColumn("__upto", F.sum("__n").over(running))
-             .withColumn("__all", F.sum("__n").over(per_group)))
-
-    probs = F.array(*[
-        F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in wanted[c].items()])
-        for c in columns
-    ])
-    position = F.col("__t.p") * (F.col("__all") - 1)
-    hits = (cells.withColumn("__t", F.explode(F.get(probs, F.col("__m"))))
-            .withColumn("__pos", position)
-            .withColumn("__k", F.explode(F.array(F.floor("__pos"), F.floor("__pos") + 1)))
-            .where((F.col("__k") >= F.col("__upto") - F.col("__n")) & (F.col("__k") < F.col("__upto")))
-            .groupBy(*group, "__cell")
-            .agg(F.collect_set(F.struct(
-                F.col("__t.name").alias("name"),
-                (F.col("__k") - F.col("__upto") + F.col("__n")).alias("k"),
-                (F.col("__k") > F.floor("__pos")).alias("upper"),
-                (F.col("__pos") - F.floor("__pos")).alias("frac"))).alias("__targets")))
-    hits = measured(hits)
-
-    values = (join_on(long, hits, [*group, "__cell"], "inner")
-              .groupBy(*group, "__cell", "__v")
-              .agg(F.count("*").alias("__n"), F.any_value("__targets").alias("__targets"))
-              .withColumn("__fine", value_cell(F.col("__v"), FINE_PER_E)))
-    in_cell = Window.partitionBy(*group, "__cell").orderBy("__fine") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_fine = Window.partitionBy(*group, "__cell", "__fine").orderBy("__v") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = (values.groupBy(*group, "__cell", "__fine")
-            .agg(F.sum("__n").alias("__fn"), F.any_value("__targets").alias("__ft"))
-            .withColumn("__before", F.sum("__fn").over(in_cell) - F.col("__fn"))
-            .where(F.exists("__ft", lambda t: (t["k"] >= F.col("__before"))
-                            & (t["k"] < F.col("__before") + F.col("__fn"))))
-            .drop("__fn", "__ft"))
-    found = (join_on(values, fine, [*group, "__cell", "__fine"], "inner")
-             .withColumn("__upto", F.col("__before") + F.sum("__n").over(in_fine))
-             .select(*keys, "__v", F.explode(F.expr(
-                 "filter(__targets, t -> t.k < __upto AND t.k >= __upto - __n)")).alias("__t")))
-    sides = found.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("__t.name") == name) & (F.col("__t.upper") == upper), F.col("__v")))
-         .alias(f"__{side}_{name}")
-        for name in names for side, upper in (("lo", False), ("hi", True))
-    ], *[F.max(F.when(F.col("__t.name") == name, F.col("__t.frac"))).alias(f"__f_{name}") for name in names])
-    return sides.select(*keys, *[
-        F.when(F.col(f"__f_{n}") > 0,
-               F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}"))
-         .otherwise(F.col(f"__lo_{n}")).alias(n)
-        for n in names
-    ])
+    spark = df.sparkSession
+    ks = "".join(f"`{k}`, " for k in keys)
+    part = f"PARTITION BY {ks}m"
+
+    def same(left: str, right: str, *cells: str) -> str:
+        return " AND ".join([f"{left}.`{k}` <=> {right}.`{k}`" for k in keys]
+                            + [f"{left}.{c} = {right}.{c}" for c in ("m", *cells)])
+
+    long = spark.sql(f"""
+        SELECT {ks}m, v, {_cell_sql('v', CELLS_PER_E)} AS cell
+        FROM (SELECT {ks}stack({len(columns)}, {_stack_sql(columns)}) AS (m, v) FROM {{df}})
+        WHERE abs(v) < double('infinity')""", df=df)
+    asked = ", ".join("array(" + ", ".join(f"struct('{n}' AS name, double({p}) AS p)" for n, p in wanted[c].items()) + ")"
+                      for c in columns)
+    hits = measured(spark.sql(f"""
+        WITH cells AS (
+          SELECT *, sum(n) OVER ({part} ORDER BY cell) AS upto, sum(n) OVER ({part}) AS total
+          FROM (SELECT {ks}m, cell, count(*) AS n FROM {{long}} GROUP BY {ks}m, cell)),
+        asked AS (
+          SELECT *, t.p * (total - 1) AS pos FROM cells
+          LATERAL VIEW explode(get(array({asked}), m)) AS t),
+        ranks AS (
+          SELECT * FROM asked LATERAL VIEW explode(array(floor(pos), floor(pos) + 1)) AS k
+          WHERE k >= upto - n AND k < upto)
+        SELECT {ks}m, cell, collect_set(struct(
+          t.name AS name, k - upto + n AS k, k > floor(pos) AS upper, pos - floor(pos) AS frac)) AS targets
+        FROM ranks GROUP BY {ks}m, cell""", long=long))
+    outs = ", ".join(
+        f"""max(CASE WHEN t.name = '{n}' AND NOT t.upper THEN v END) AS `lo_{n}`,
+        max(CASE WHEN t.name = '{n}' AND t.upper THEN v END) AS `hi_{n}`,
+        max(CASE WHEN t.name = '{n}' THEN t.frac END) AS `f_{n}`""" for n in names)
+    final = ", ".join(
+        f"CASE WHEN `f_{n}` > 0 THEN `lo_{n}` + (`hi_{n}` - `lo_{n}`) * `f_{n}` ELSE `lo_{n}` END AS `{n}`" for n in names)
+    lcols = "".join(f"l.`{k}`, " for k in keys) + "l.m, l.cell, l.v"
+    vcols = "".join(f"x.`{k}`, " for k in keys) + "x.v, x.n, x.targets"
+    group = f"GROUP BY {ks[:-2]}" if keys else ""
+    return spark.sql(f"""
+        WITH counted AS (
+          SELECT {lcols}, count(*) AS n, any_value(h.targets) AS targets,
+                 any_value({_cell_sql('l.v', FINE_PER_E)}) AS fine
+          FROM {{long}} l JOIN {{hits}} h ON {same('l', 'h', 'cell')} GROUP BY {lcols}),
+        fines AS (
+          SELECT *, sum(fn) OVER ({part}, cell ORDER BY fine) - fn AS before
+          FROM (SELECT {ks}m, cell, fine, sum(n) AS fn, any_value(targets) AS ft FROM counted GROUP BY {ks}m, cell, fine)),
+        kept AS (SELECT * FROM fines WHERE exists(ft, t -> t.k >= before AND t.k < before + fn)),
+        placed AS (
+          SELECT {vcols}, y.before + sum(x.n) OVER (
+            PARTITION BY {"".join(f"x.`{k}`, " for k in keys)}x.m, x.cell, x.fine ORDER BY x.v) AS upto
+          FROM counted x JOIN kept y ON {same('x', 'y', 'cell', 'fine')}),
+        found AS (
+          SELECT {ks}v, t FROM placed
+          LATERAL VIEW explode(filter(targets, t -> t.k < upto AND t.k >= upto - n)) AS t)
+        SELECT {ks}{final} FROM (SELECT {ks}{outs} FROM found {group})""", long=long, hits=hits)
+
+
+def _stack_sql(columns: Sequence[str]) -> str:
+    return ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
+
+
+def _cell_sql(x: str, cells_per_e: int) -> str:
+    """SQL text of :func:`value_cell`."""
+    size = f"(floor(ln(abs({x})) * {float(cells_per_e)}D) + {CELL_ORIGIN})"
+    return f"CASE WHEN {x} = 0 THEN 0L WHEN {x} > 0 THEN {size} ELSE -{size} END"
 
 
 def summarise(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
@@ -130,7 +132,8 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
     base = df.groupBy(*keys).agg(*aggs)
     ranked = quantiles(df, keys, wanted)
     if not keys:
-        return base.select("*", *[ranked.select(c).scalar().alias(c) for c in ranked.columns])
+        one = F.lit(1)
+        return base.withColumn("__one", one).join(ranked.withColumn("__one", one), "__one", "left").drop("__one")
     return join_on(base, ranked, keys, "left")
 
 
