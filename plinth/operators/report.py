@@ -66,9 +66,8 @@ def indicator_table(obs: DataFrame) -> DataFrame:
     """Latest value per indicator, printed with its own number of decimals."""
     latest = obs.where("value IS NOT NULL").groupBy("name").agg(
         F.max(F.struct("period", "value", "unit", "decimals")).alias("r")).select("name", "r.*")
-    return latest.select("name", "period", "unit", F.col("value"),
-                         F.format_number(F.col("value"), "#,##0.##").alias("shown")) if "decimals" not in obs.columns \
-        else latest.select("name", "period", "unit", F.round("value", F.col("decimals")).alias("value"))
+    scale = F.pow(F.lit(10.0), F.col("decimals"))
+    return latest.select("name", "period", "unit", (F.round(F.col("value") * scale) / scale).alias("value"))
 
 
 def notes_tally(notes: DataFrame) -> DataFrame:

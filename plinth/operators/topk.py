@@ -39,16 +39,11 @@ def largest_move(df: DataFrame, change: str, label: str, keys: Sequence[str] = (
 def top_per_group(df: DataFrame, keys: Sequence[str], score: str, label: str, n: int = 5) -> DataFrame:
     """The n best rows of every group, best first.
 
-    Groups are cut into hash slices, the best n of each slice survive a first round, and
-    only those meet in the second: a hot group costs n rows per slice, not all of its rows.
+    The rank filter is pushed below the shuffle as a window group limit, so a hot group
+    sends n rows per task, not all of its rows.
     """
-    slices = 64
-    order = [F.desc(score), F.col(label)]
-    first = Window.partitionBy(*keys, "__slice").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("__slice", F.pmod(F.xxhash64(label), F.lit(slices)))
-            .withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n)
-            .withColumn("place", F.row_number().over(final)).where(F.col("place") <= n).drop("__slice", "__r"))
+    final = Window.partitionBy(*keys).orderBy(F.desc(score), label)
+    return df.withColumn("place", F.row_number().over(final)).where(F.col("place") <= n)
 
 
 def best_overall(df: DataFrame, score: str, label: str, n: int = 40) -> DataFrame:

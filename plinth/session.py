@@ -7,6 +7,7 @@ import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def remember_no_ipython() -> None:
@@ -54,12 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# A side of at most this many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def measured(df: DataFrame) -> DataFrame:
-    """Materialise a derived side so that Catalyst knows its true size.
+    """Write a derived side to the checkpoint folder and count it.
 
-    The result is never hinted: below ``spark.sql.autoBroadcastJoinThreshold`` the
-    planner broadcasts it, above it plans a shuffle join with AQE skew handling.
+    Up to BROADCAST_ROWS rows it carries a broadcast hint, beyond that none: the join is
+    then planned as a shuffle join with AQE's skew handling.  The lineage ends here, so
+    the side survives the loss of executors and is not planned again by its users.
     """
-    df = df.persist()
-    df.count()
-    return df
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small

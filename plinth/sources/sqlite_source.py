@@ -1,0 +1,114 @@
+"""SQLite files as a Spark data source: one partition per rowid range.
+
+    spark.dataSource.register(SqliteDataSource)
+    spark.read.format("sqlite_file").option("path", p).option("table", t).load()
+
+Options: ``path``, ``table`` or ``query``, ``partitions`` (row ranges, default 8) and
+``step`` (read every step-th rowid: thinning inside the file, off by default).
+"""
+
+from __future__ import annotations
+
+import sqlite3
+import sys
+from urllib.parse import quote
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
+AFFINITY = [("INT", "bigint"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"),
+            ("FLOA", "double"), ("DOUB", "double"), ("NUM", "double"), ("DEC", "double"), ("BOOL", "bigint")]
+
+
+def connect(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+
+
+def table_names(path: str) -> list[str]:
+    """Every table and view of a file."""
+    db = connect(path)
+    try:
+        return [r[0] for r in db.execute(
+            "SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+    finally:
+        db.close()
+
+
+def _spark_type(declared: str) -> str:
+    return next((t for part, t in AFFINITY if part in (declared or "").upper()), "string")
+
+
+class RowRange(InputPartition):
+    def __init__(self, low, high):
+        self.low, self.high = low, high
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options, schema):
+        self.path, self.table, self.query = options["path"], options.get("table"), options.get("query")
+        self.count, self.step, self.schema = int(options.get("partitions", 8)), int(options.get("step", 1)), schema
+
+    def partitions(self):
+        if self.query:
+            return [RowRange(None, None)]
+        db = connect(self.path)
+        try:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        except sqlite3.OperationalError:  # a view has no rowid
+            return [RowRange(None, None)]
+        finally:
+            db.close()
+        if low is None:
+            return [RowRange(0, 0)]
+        width = max(1, -(-(high - low + 1) // self.count))
+        return [RowRange(start, start + width) for start in range(low, high + 1, width)]
+
+    def read(self, partition):
+        names = ", ".join('"' + f.name.replace('"', '""') + '"' for f in self.schema.fields)
+        casts = [{"bigint": int, "double": float, "string": str}.get(f.dataType.simpleString(), lambda v: v) for f in self.schema.fields]
+        db = connect(self.path)
+        try:
+            if self.query:
+                rows = db.execute(self.query)
+            elif partition.low is None:
+                rows = db.execute(f'SELECT {names} FROM "{self.table}"')
+            else:
+                rows = db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? AND rowid % ? = 0',
+                                  (partition.low, partition.high, self.step))
+            for row in rows:
+                yield tuple(None if v is None else cast(v) for cast, v in zip(casts, row))
+        finally:
+            db.close()
+
+
+class SqliteDataSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "sqlite_file"
+
+    def schema(self):
+        db = connect(self.options["path"])
+        try:
+            if self.options.get("query"):
+                cursor = db.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 1")
+                first = cursor.fetchone() or [None] * len(cursor.description)
+                kinds = {int: "bigint", float: "double", bytes: "binary"}
+                columns = [(d[0], kinds.get(type(v), "string")) for d, v in zip(cursor.description, first)]
+            else:
+                columns = [(r[1], _spark_type(r[2])) for r in db.execute(f'PRAGMA table_info("{self.options["table"]}")')]
+        finally:
+            db.close()
+        return ", ".join(f"`{n}` {t}" for n, t in columns)
+
+    def reader(self, schema):
+        return SqliteReader(self.options, schema)
+
+
+def read_sqlite(spark: SparkSession, path: str, tables: list[str] | None = None, **options) -> dict[str, DataFrame]:
+    """Every table and view of a file (or the named ones), each read by rowid ranges."""
+    spark.dataSource.register(SqliteDataSource)
+    return {t: spark.read.format("sqlite_file").options(path=path, table=t, **options).load()
+            for t in (tables or table_names(path))}

@@ -44,10 +44,10 @@ def openings(spark, sf):
 
 
 @query("txt_09_shingle_repeats", sql=PARS + """,
-r AS (SELECT doc_id, par, i AS at, array_to_string(w[i:i + 5], ' ') AS run FROM words, unnest(generate_series(1, len(w) - 5)) AS t(i)),
+r AS (SELECT doc_id, par, i AS pos, array_to_string(w[i:i + 5], ' ') AS run FROM words, unnest(generate_series(1, len(w) - 5)) AS t(i)),
 f AS (SELECT run, arg_min(doc_id, (doc_id, par)) AS first_doc, arg_min(par, (doc_id, par)) AS first_par FROM r GROUP BY 1),
-h AS (SELECT doc_id, par, at, run, first_doc, first_par FROM r JOIN f USING (run) WHERE doc_id <> first_doc OR par <> first_par)
-SELECT doc_id, par, arg_min(run, at) AS run, arg_min(first_doc, at) AS first_doc, arg_min(first_par, at) AS first_par FROM h GROUP BY 1, 2""")
+h AS (SELECT doc_id, par, pos, run, first_doc, first_par FROM r JOIN f USING (run) WHERE doc_id <> first_doc OR par <> first_par)
+SELECT doc_id, par, arg_min(run, pos) AS run, arg_min(first_doc, pos) AS first_doc, arg_min(first_par, pos) AS first_par FROM h GROUP BY 1, 2""")
 def shingles(spark, sf):
     return T.repeated_runs(pars(spark, sf))
 
@@ -90,16 +90,16 @@ def rewritable(spark, sf):
 
 
 @query("txt_12_fact_masking", sql=r"""
-WITH f AS (SELECT conv_id, turn, regexp_extract_all(text,
-  '\d{4}-yil\s+\d{1,2}-(?:yanvar|fevral|mart|aprel|may|iyun|iyul|avgust|sentabr|oktabr|noyabr|dekabr)\w*|\d{4}-yil\s+(?:IV|III|II|I)\s+chora[gqk]\w*|[+-]?\d+(?:[  ]\d{3})*(?:,\d+)?%?') AS v FROM conversations)
-SELECT conv_id, turn, '[[F' || (i - 1) || ']]' AS ref, v[i] AS value FROM f, unnest(generate_series(1, len(v))) AS t(i)""")
+WITH f AS (SELECT doc_id, regexp_extract_all(text,
+  '\d{4}-yil\s+\d{1,2}-(?:yanvar|fevral|mart|aprel|may|iyun|iyul|avgust|sentabr|oktabr|noyabr|dekabr)\w*|\d{4}-yil\s+(?:IV|III|II|I)\s+chora[gqk]\w*|[+-]?\d+(?:[  ]\d{3})*(?:,\d+)?%?') AS v FROM documents)
+SELECT doc_id, '[[F' || (i - 1) || ']]' AS ref, v[i] AS value FROM f, unnest(generate_series(1, len(v))) AS t(i)""")
 def masking(spark, sf):
-    return T.facts(table(spark, sf, "conversations"), ["conv_id", "turn"])
+    return T.facts(table(spark, sf, "documents"), ["doc_id"])
 
 
 @query("txt_12_masked_text")
 def masked_text(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.masked("text").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", T.masked("text").alias("text"))
 
 
 @query("txt_13_fact_guard", sql=r"""
@@ -112,6 +112,19 @@ def guard(spark, sf):
     return T.unsupported_numbers(pairs).select("conv_id", "turn", F.size("unsupported").cast("bigint").alias("unsupported_numbers"), "supported")
 
 
+@query("txt_13_fact_guard_paragraphs", sql=PARS + r""",
+n AS (SELECT doc_id, par, list_distinct(regexp_extract_all(text, '[+-]?\d+(?:[  ]\d{3})*(?:,\d+)?%?')) AS v FROM pars)
+SELECT a.doc_id, a.par, len(list_filter(a.v, lambda x: NOT list_contains(u.v, x))) AS unsupported_numbers,
+  len(list_filter(a.v, lambda x: NOT list_contains(u.v, x))) = 0 AS supported
+FROM n a JOIN n u ON a.doc_id = u.doc_id AND a.par = u.par + 1 WHERE len(a.v) > 0""")
+def guard_paragraphs(spark, sf):
+    """Every number of a paragraph must already stand in the paragraph before it."""
+    p = pars(spark, sf)
+    before = p.select("doc_id", (F.col("par") + 1).alias("par"), F.col("text").alias("source"))
+    pairs = p.where(F.size(T.numbers("text")) > 0).withColumnRenamed("text", "answer").join(before, ["doc_id", "par"])
+    return T.unsupported_numbers(pairs).select("doc_id", "par", F.size("unsupported").cast("bigint").alias("unsupported_numbers"), "supported")
+
+
 @query("txt_14_json_payload")
 def json_payload(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.concat(
@@ -121,12 +134,11 @@ def json_payload(spark, sf):
 
 
 @query("txt_15_blank_sections", sql=PARS + """
-SELECT doc_id % 7 AS section, par // 40 AS block, count(*) AS blocks FROM pars WHERE par >= 40 OR trim(text) = ''
-GROUP BY 1, 2 HAVING bool_and(trim(text) = '')""")
+SELECT doc_id, count(*) AS blocks FROM pars GROUP BY 1 HAVING bool_and(length(text) < 400 OR trim(text) = '')""")
 def blank_sections(spark, sf):
-    p = pars(spark, sf).where("par >= 40 OR trim(text) = ''").select(
-        F.struct((F.col("doc_id") % 7).alias("section"), F.floor(F.col("par") / 40).alias("block")).alias("s"), "text")
-    return T.blank_sections(p, "s").select("s.section", "s.block", "blocks")
+    """Paragraphs too short to carry a block count as blank here, so that blank sections occur."""
+    blanked = pars(spark, sf).withColumn("text", F.when(F.char_length("text") < 400, " ").otherwise(F.col("text")))
+    return T.blank_sections(blanked)
 
 
 @query("flt_01_events_in_window", sql="""
