@@ -64,9 +64,15 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     return wrapped.unionByName(bare, allowMissingColumns=True)
 
 
-def param(key: str, params: str = "params") -> Column:
-    """Value struct of the last parameter with this key."""
-    return F.try_element_at(F.filter(params, lambda p: p["key"] == key), F.lit(-1))["value"]
+def param(key: str) -> Column:
+    """Value struct of the last parameter with this key (over the columns of ``with_params``)."""
+    at = F.nullif(F.array_position("__keys", key), F.lit(0))
+    return F.try_element_at("__values", at.cast("int"))
+
+
+def with_params(ads: DataFrame) -> DataFrame:
+    """Parameter keys and values as two arrays, last parameter first."""
+    return ads.withColumns({"__keys": F.reverse("params.key"), "__values": F.reverse("params.value")})
 
 
 def advert_rows(ads: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def advert_rows(ads: DataFrame) -> DataFrame:
     label, code = F.lower(market["label"]), F.lower(market["key"])
     cols["market"] = F.when((code == "primary") | label.rlike("первич|birlamchi"), FIRST_MARKET) \
         .when((code == "secondary") | label.rlike("вторич|ikkilamchi"), SECOND_MARKET).otherwise(NO_MARKET)
-    return ads.select(*[c.alias(n) for n, c in cols.items()],
+    return with_params(ads).select(*[c.alias(n) for n, c in cols.items()],
                       *[c for c in ("collection_category",) if c in ads.columns]).where("price IS NOT NULL")
 
 

@@ -73,28 +73,27 @@ def shared_openings(pars: DataFrame, n: int = OPENING_WORDS) -> DataFrame:
         .select("doc_id", "par", "opening", F.col("f.doc_id").alias("first_doc"), F.col("f.par").alias("first_par"))
 
 
-def word_runs(pars: DataFrame, n: int = RUN_WORDS) -> DataFrame:
-    """Distinct n-word runs of each paragraph with the place of their first occurrence in it."""
-    ws = pars.select("doc_id", "par", words().alias("w")).where(F.size("w") >= n)
-    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-    runs = ws.select("doc_id", "par", F.posexplode(F.transform(
-        starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("at", "run"))
-    return runs.groupBy("doc_id", "par", "run").agg(F.min("at").alias("at"))
-
-
 def repeated_runs(pars: DataFrame, n: int = RUN_WORDS) -> DataFrame:
     """The first six-word run of each paragraph that an earlier paragraph already used.
 
-    Runs travel as a 64-bit hash; only those used twice are compared as text again, so a
-    hash collision cannot invent a repeat.
+    A run travels as two independent 64-bit hashes and its place as one number, so the big
+    aggregate is a hash aggregate over integers that collapses map-side; the words of a run
+    are read again only for the one hit a paragraph reports.
     """
-    runs = word_runs(pars, n).withColumn("h", F.xxhash64("run"))
-    used = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = runs.join(used, "h", "left_semi")
-    firsts = shared.groupBy("run").agg(F.min(F.struct("doc_id", "par")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    hits = shared.join(firsts, "run").where(F.struct("doc_id", "par") != F.col("f"))
-    return hits.groupBy("doc_id", "par").agg(F.min(F.struct("at", "run", "f")).alias("r")).select(
-        "doc_id", "par", F.col("r.run").alias("run"), F.col("r.f.doc_id").alias("first_doc"), F.col("r.f.par").alias("first_par"))
+    ws = pars.select("doc_id", "par", words().alias("w")).where(F.size("w") >= n) \
+        .withColumn("place", F.shiftleft(F.col("doc_id").cast("bigint"), 24) + F.col("par"))
+    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    slices = F.transform(starts, lambda i: F.struct(
+        F.xxhash64(F.slice("w", i, F.lit(n))).alias("h1"), F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))).alias("h2")))
+    runs = ws.select("place", F.posexplode(slices).alias("at", "h")).select("place", "at", "h.h1", "h.h2")
+    used = runs.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")) \
+        .where("first < last").select("h1", "h2", "first")
+    hits = runs.join(used, ["h1", "h2"]).where("place > first") \
+        .groupBy("place").agg(F.min(F.struct("at", "first")).alias("r"))
+    low = F.shiftleft(F.lit(1).cast("bigint"), 24)
+    return ws.join(hits, "place").select(
+        "doc_id", "par", F.array_join(F.slice("w", F.col("r.at") + 1, F.lit(n)), " ").alias("run"),
+        F.shiftright("r.first", 24).alias("first_doc"), F.pmod("r.first", low).cast("int").alias("first_par"))
 
 
 def notation_hits(pars: DataFrame, marks: list[str] = NOTATION) -> DataFrame:

@@ -55,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer files than there are cores over all of them.
+
+    A large table has files enough and is left as it is; a single small file would keep
+    every step up to the first shuffle in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # A side of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 

@@ -68,21 +68,25 @@ def envelope_note(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, name: str = "data") -> dict[str, DataFrame]:
-    """A JSON document, or JSON lines when it does not parse as one."""
-    whole = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
-    if whole.columns == ["_broken"]:
-        return {name: read_json_lines(spark, path)[0]}
-    return tables_of(whole.drop("_broken"), name)
+    """JSON lines when most lines parse on their own, else one document per file."""
+    ok = F.try_parse_json("value").isNotNull()
+    by_line = spark.read.text(path).where("trim(value) <> ''").agg((F.count_if(ok) * 2 > F.count("*")).alias("by_line")).first()[0]
+    if by_line:
+        rows, _ = read_json_lines(spark, path)
+        return tables_of(rows, name)
+    return tables_of(spark.read.option("multiLine", True).json(path), name)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame]:
-    """(good rows, one row with the number of damaged lines)."""
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records of the sound lines, one row counting damaged and all lines).
+
+    Damaged lines are skipped and counted, never fatal.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
     if schema is None:
-        schema = reader.json(path).schema
-    if "_broken" not in schema.names:
-        schema = StructType(schema.fields).add("_broken", "string")
-    rows = reader.schema(schema).json(path)
-    bad = F.col("_broken").isNotNull()
-    return flatten(rows.where(~bad).drop("_broken")), rows.select("_broken", *rows.columns[:1]).agg(
-        F.count_if(bad).alias("damaged"), F.count("*").alias("lines"))
+        inferred = spark.read.option("columnNameOfCorruptRecord", "_broken").json(path).schema
+        schema = StructType([f for f in inferred.fields if f.name != "_broken"])
+    parsed = lines.withColumn("ok", F.try_parse_json("value").isNotNull()) \
+        .withColumn("r", F.from_json("value", schema))
+    return parsed.where("ok").select("r.*"), parsed.agg(
+        F.count_if(~F.col("ok")).alias("damaged"), F.count("*").alias("lines"))

@@ -23,7 +23,7 @@ SELECT o_orderkey AS id, o_orderstatus AS details_status, o_orderpriority AS det
 def json_records(spark, sf):
     nested = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.struct(
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("details"))
-    return json_tables.read_json_lines(spark, _written(spark, nested, "json", "records"))[0]
+    return json_tables.read_json(spark, _written(spark, nested, "json", "records"))["data"]
 
 
 def _envelope(spark, sf, key):
@@ -82,7 +82,7 @@ def json_nested(spark, sf):
 
 @query("src_07_damaged_json_lines", sql="SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0) AS damaged, count(*) AS lines FROM orders")
 def damaged_lines(spark, sf):
-    line = F.to_json(F.struct(F.col("o_orderkey").alias("id")))
+    line = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")))
     text = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, F.substring(line, 1, 5)).otherwise(line).alias("value"))
     return json_tables.read_json_lines(spark, _written(spark, text, "text", "damaged"))[1]
 
@@ -90,7 +90,7 @@ def damaged_lines(spark, sf):
 @query("src_08_json_retry_as_lines", sql="SELECT o_orderkey AS id FROM orders")
 def retry_lines(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return json_tables.read_json_lines(spark, _written(spark, rows, "json", "retry"))[0]
+    return json_tables.read_json(spark, _written(spark, rows, "json", "retry"))["data"]
 
 
 @query("src_09_delimited_text", doubles="o_totalprice", sql="SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")

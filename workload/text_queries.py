@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plinth.operators import bucketing as B
 from plinth.operators import pages as G
 from plinth.operators import text_checks as T
+from plinth.session import spread
 from workload.registry import query
 from workload.tables import LISTINGS, listings, table
 
@@ -19,7 +20,7 @@ PHRASES = ["de la", "und der", "the ", "para el"]
 
 
 def pars(spark, sf):
-    return T.paragraphs(table(spark, sf, "documents"))
+    return T.paragraphs(spread(table(spark, sf, "documents")))
 
 
 @query("txt_06_banned_phrases", sql=PARS + """
@@ -196,7 +197,7 @@ def _text_sql():
 
 @query("txt_03_readable_text", sql=_text_sql())
 def readable(spark, sf):
-    return table(spark, sf, "pages").select("page_id", G.readable_text().alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", G.readable_text().alias("text"))
 
 
 @query("txt_04_domain", sql=r"""
