@@ -19,8 +19,15 @@ from plinth.operators.archive import national
 STRATA = ["region_uz", "market"]
 MIN_QUARTER_LISTINGS = 100
 MILLION = 1_000_000.0
-ALL = Window.partitionBy(F.lit(0))
-BY_QUARTER = ALL.orderBy("quarter")
+
+
+def everything():
+    """All rows of a small published table as one window partition."""
+    return Window.partitionBy(F.lit(0))
+
+
+def by_quarter():
+    return everything().orderBy("quarter")
 
 
 def quarter_label(quarter) -> Column:
@@ -33,7 +40,7 @@ def fixed_weights(quarterly: DataFrame, strata: Sequence[str] = tuple(STRATA)) -
     quarters = quarterly.agg(F.count_distinct("quarter")).scalar()
     counts = quarterly.groupBy(*strata).agg(F.sum("listings").alias("n"), F.count_distinct("quarter").alias("seen"))
     return counts.where(F.col("seen") == quarters) \
-        .withColumn("weight", ratio("n", F.sum("n").over(ALL))).select(*strata, "weight")
+        .withColumn("weight", ratio("n", F.sum("n").over(everything()))).select(*strata, "weight")
 
 
 def index_series(quarterly: DataFrame, strata: Sequence[str] = tuple(STRATA), rates: DataFrame | None = None) -> DataFrame:
@@ -58,7 +65,7 @@ def index_series(quarterly: DataFrame, strata: Sequence[str] = tuple(STRATA), ra
     levels = fixed.where(any_fixed & F.col("median_usd_sqm").isNotNull()).withColumn("weighting", F.lit("fixed")) \
         .unionByName(volume.where(~any_fixed).withColumn("weighting", F.lit("volume")))
     months = quarterly.groupBy("quarter").agg(F.max("months").alias("months"))
-    base = F.first("median_usd_sqm").over(BY_QUARTER.rowsBetween(Window.unboundedPreceding, 0))
+    base = F.first("median_usd_sqm").over(by_quarter().rowsBetween(Window.unboundedPreceding, 0))
     out = levels.join(months, "quarter").withColumn("index", ratio("median_usd_sqm", base) * 100)
     if rates is not None:
         out = out.join(rates.select("quarter", "rate"), "quarter", "left") \
@@ -68,8 +75,8 @@ def index_series(quarterly: DataFrame, strata: Sequence[str] = tuple(STRATA), ra
 
 def som_index(levels: DataFrame) -> DataFrame:
     """Local-currency level, first quarter = 100; empty unless every quarter has a rate."""
-    complete = levels.withColumn("__gap", F.count_if(F.col("som_sqm").isNull()).over(ALL)).where("__gap = 0")
-    base = F.first("som_sqm").over(BY_QUARTER.rowsBetween(Window.unboundedPreceding, 0))
+    complete = levels.withColumn("__gap", F.count_if(F.col("som_sqm").isNull()).over(everything())).where("__gap = 0")
+    base = F.first("som_sqm").over(by_quarter().rowsBetween(Window.unboundedPreceding, 0))
     return complete.withColumn("som_index", ratio("som_sqm", base) * 100).select("quarter", "som_sqm", "som_index")
 
 
@@ -83,13 +90,13 @@ def price_level(cpi: DataFrame, quarters: DataFrame) -> DataFrame:
     known = cpi.agg(F.min("year").alias("k0"), F.max("year").alias("k1"), F.max_by("pct", "year").alias("last"))
     k0, k1, last = (known.select(c).scalar() for c in ("k0", "k1", "last"))
     years = ends.where(F.col("a") >= k0).select(F.explode(F.sequence("a", "b")).alias("year")).join(cpi, "year", "left")
-    upto = ALL.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    upto = everything().orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     years = years.withColumn("factor", 1 + F.coalesce("pct", last) / 100) \
         .withColumn("start", F.coalesce(F.exp(F.sum(F.ln("factor")).over(upto)), F.lit(1.0))) \
         .withColumn("carried", F.col("pct").isNull() & (F.col("year") > k1))
     rows = quarters.select("quarter").distinct().withColumn("year", F.year("quarter")).join(years, "year")
     raw = F.col("start") * F.pow("factor", F.quarter("quarter") / 4.0)
-    first = F.first(raw).over(BY_QUARTER.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(raw).over(by_quarter().rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("quarter", (raw / first).alias("level"), "carried")
 
 
@@ -134,7 +141,7 @@ def comparison(quarterly: DataFrame, group: str, quarters: DataFrame, rates: Dat
 def last_quarters(quarterly: DataFrame, n: int = 3) -> DataFrame:
     """The latest n quarters with k counting from the oldest."""
     kept = quarterly.select("quarter").distinct().orderBy(F.desc("quarter")).limit(n)
-    return kept.withColumn("k", F.row_number().over(BY_QUARTER) - 1)
+    return kept.withColumn("k", F.row_number().over(by_quarter()) - 1)
 
 
 def thin_groups(quarterly: DataFrame, group: str, quarter, minimum: int = MIN_QUARTER_LISTINGS) -> DataFrame:
@@ -182,7 +189,7 @@ def breadth(changes: DataFrame, column: str = "change_pct") -> DataFrame:
 def level_spread(table: DataFrame, group: str, level: str = "level") -> DataFrame:
     """Ends, ratio and the middle place of the latest levels (three or more places)."""
     rows = table.where(F.col(level).isNotNull()) \
-        .withColumn("r", F.row_number().over(ALL.orderBy(level, group)) - 1).withColumn("n", F.count("*").over(ALL))
+        .withColumn("r", F.row_number().over(everything().orderBy(level, group)) - 1).withColumn("n", F.count("*").over(everything()))
     out = rows.agg(
         F.max("n").alias("places"), F.min_by(group, "r").alias("cheapest"), F.min(level).alias("low"),
         F.max_by(group, "r").alias("dearest"), F.max(level).alias("high"),
@@ -219,7 +226,7 @@ def segment_headline(table: DataFrame, group: str) -> DataFrame:
 def level_change_rank_correlation(table: DataFrame, level="level", change="change_pct") -> DataFrame:
     """Spearman of level and change over six or more places; converging at -0.4, diverging at +0.4."""
     def rank(c):
-        return F.rank().over(ALL.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+        return F.rank().over(everything().orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
     rows = table.where(F.col(level).isNotNull() & F.col(change).isNotNull()) \
         .withColumn("a", rank(level)).withColumn("b", rank(change))
     out = rows.agg(F.count("*").alias("places"), F.corr("a", "b").alias("rho")).where("places >= 6")
@@ -243,8 +250,8 @@ def persistence(table: DataFrame) -> DataFrame:
 
 def pace(levels: DataFrame) -> DataFrame:
     """Last index change against the mean of the (up to) three before it; count and depth of falls."""
-    steps = levels.withColumn("change", pct_change("index", F.lag("index").over(BY_QUARTER))) \
-        .where("change IS NOT NULL").withColumn("back", F.row_number().over(ALL.orderBy(F.desc("quarter"))))
+    steps = levels.withColumn("change", pct_change("index", F.lag("index").over(by_quarter()))) \
+        .where("change IS NOT NULL").withColumn("back", F.row_number().over(everything().orderBy(F.desc("quarter"))))
     out = steps.agg(
         F.count("*").alias("steps"), F.max(F.when(F.col("back") == 1, F.col("change"))).alias("last_change"),
         F.avg(F.when(F.col("back").between(2, 4), F.col("change"))).alias("earlier_mean"),
@@ -258,7 +265,7 @@ def index_table(levels: DataFrame) -> DataFrame:
     """Printed index: quarter, months, level, coverage, listings, index, change."""
     return levels.select(
         quarter_label("quarter").alias("label"), "quarter", "months", F.col("median_usd_sqm").alias("level"), "coverage",
-        "listings", "index", pct_change("index", F.lag("index").over(BY_QUARTER)).alias("change_pct"))
+        "listings", "index", pct_change("index", F.lag("index").over(by_quarter())).alias("change_pct"))
 
 
 def currency_effect(levels: DataFrame) -> DataFrame:
@@ -271,7 +278,7 @@ def currency_effect(levels: DataFrame) -> DataFrame:
 
 def rate_pass_through(rates: DataFrame) -> DataFrame:
     """Change of the exchange rate between the last two quarters; none below a tenth of a percent."""
-    last = rates.withColumn("back", F.row_number().over(ALL.orderBy(F.desc("quarter")))).where("back <= 2")
+    last = rates.withColumn("back", F.row_number().over(everything().orderBy(F.desc("quarter")))).where("back <= 2")
     at = lambda k: F.max(F.when(F.col("back") == k, F.col("rate")))
     out = last.agg(at(1).alias("rate"), at(2).alias("rate_before")).withColumn("effect_pct", pct_change("rate", "rate_before"))
     return out.where("effect_pct IS NOT NULL").withColumn(
@@ -292,7 +299,7 @@ def annual_history(monthly: DataFrame) -> DataFrame:
     rows = monthly.groupBy(F.year("month").alias("year")).agg(
         F.count_distinct("month").alias("months"), F.sum("listings").alias("listings"),
         ratio(F.sum(F.col("median_usd_sqm") * F.col("listings")), F.sum("listings")).alias("median"))
-    return rows.withColumn("change_pct", pct_change("median", F.lag("median").over(ALL.orderBy("year"))))
+    return rows.withColumn("change_pct", pct_change("median", F.lag("median").over(everything().orderBy("year"))))
 
 
 def annual_reading(annual: DataFrame) -> DataFrame:
@@ -315,7 +322,7 @@ def across_gap(monthly: DataFrame) -> DataFrame:
 
     ``tiny_sample`` marks a latest month with under a tenth of the earlier listings.
     """
-    nat = national(monthly, "month").withColumn("prev", F.lag("month").over(ALL.orderBy("month")))
+    nat = national(monthly, "month").withColumn("prev", F.lag("month").over(everything().orderBy("month")))
     gap = nat.where("prev IS NOT NULL AND months_between(month, prev) > 1").agg(
         F.max_by("prev", "month").alias("before"), F.max("month").alias("resumed"))
     rows = nat.select("month", "listings", "median_usd_sqm")

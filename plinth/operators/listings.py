@@ -96,6 +96,8 @@ def advert_rows(ads: DataFrame) -> DataFrame:
     label, code = F.lower(market["label"]), F.lower(market["key"])
     cols["market"] = F.when((code == "primary") | label.rlike("первич|birlamchi"), FIRST_MARKET) \
         .when((code == "secondary") | label.rlike("вторич|ikkilamchi"), SECOND_MARKET).otherwise(NO_MARKET)
+    place = ads.schema["location"].dataType
+    cols["district"] = place_name(F.col("location.district")) if "district" in place.names else F.lit(None).cast("string")
     return with_params(ads).select(*[c.alias(n) for n, c in cols.items()],
                       *[c for c in ("collection_category",) if c in ads.columns]).where("price IS NOT NULL")
 

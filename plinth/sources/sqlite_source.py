@@ -56,9 +56,10 @@ class SqliteReader(DataSourceReader):
             return [RowRange(None, None)]
         db = connect(self.path)
         try:
+            kind = db.execute("SELECT type, sql FROM sqlite_master WHERE name = ?", (self.table,)).fetchone()
+            if kind is None or kind[0] == "view" or "WITHOUT ROWID" in (kind[1] or "").upper():
+                return [RowRange(None, None)]  # nothing to range over
             low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        except sqlite3.OperationalError:  # a view has no rowid
-            return [RowRange(None, None)]
         finally:
             db.close()
         if low is None:

@@ -141,8 +141,11 @@ def holey(spark, sf):
         .select("metric", "region", "date", "value")
 
 
-@query("pnl_08_regularise", doubles="value", sql="WITH " + HOLEY + """
-SELECT metric, region, date, coalesce(value, lv + (hv - lv) * ((p - lp) * 1.0 / nullif(hp - lp, 0)), lv, hv) AS value FROM br""")
+@query("pnl_08_regularise", doubles="value", sql="WITH " + HOLEY + """,
+sh AS (SELECT metric, region, avg(CAST(value IS NULL AS INT)) < 0.25 AND count(value) > 3 AS ok FROM dense GROUP BY 1, 2)
+SELECT metric, region, date, coalesce(value, lv + (hv - lv) * ((p - lp) * 1.0 / nullif(hp - lp, 0)), lv, hv) AS value
+FROM br JOIN sh USING (metric, region) WHERE ok
+UNION ALL SELECT metric, region, date, value FROM holey JOIN sh USING (metric, region) WHERE NOT ok""")
 def regularise(spark, sf):
     return P.regularised(holey(spark, sf), KEYS)
 
