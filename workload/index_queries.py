@@ -609,8 +609,10 @@ def regression_table(spark, sf):
     return regression_rows(regression(spark, sf))
 
 
-@query("rul_01_market_flags", sql=CONVERGENCE.replace("SELECT *, CASE WHEN periods", "SELECT 'seasonal' AS code WHERE false UNION ALL "
-       "SELECT 'diverging' FROM (SELECT *, CASE WHEN periods") + ") WHERE convergence = 'diverging' LIMIT 1")
+@query("rul_01_market_flags", sql=CONVERGENCE.replace("SELECT *, CASE WHEN periods", """SELECT 'concentrated' AS code FROM (
+  SELECT max(v) / sum(v) AS s FROM (SELECT region, sum(value) AS v FROM panel WHERE metric = 'transactions'
+  AND date = (SELECT max(date) FROM panel WHERE metric = 'transactions') GROUP BY 1)) WHERE s > 0.4
+UNION ALL SELECT DISTINCT 'diverging' FROM (SELECT *, CASE WHEN periods""") + ") WHERE convergence = 'diverging'")
 def market_flags(spark, sf):
     from plinth.operators import cross_section as X
     from plinth.operators.report import market_rules
