@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, licenses, line_runs, mixing, quality_votes, token_files
+from plinth.llm import byte_bpe, licenses, line_runs, mixing, ngram_join, quality_votes, sharding, token_files, warc
 from plinth.llm.common import documents
 from plinth.llm.oracles import ORACLES  # noqa: F401
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SHARD_BYTES = 1 << 20
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,6 +19,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(documents(spark, sf_dir, "pages"))
+    return warc.page_digests(warc.captures(warc.read_records(spark, path)))
+
+
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir), SHARD_BYTES)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_runs.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
