@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, line_runs, mixing, quality_votes
+from plinth.llm import byte_bpe, line_runs, mixing, ngram_join, quality_votes
 from plinth.llm.common import documents, staged
 
 # Embeds an EM fit, a seeded knapsack choice and a tokenizer: checked against brute force in tests/llm.
@@ -28,6 +28,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group that links by 4-word shingles."""
+    return ngram_join.keep_one(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return mixing.mix(docs)
@@ -42,7 +47,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                           F.sha2(decode("ids"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("source_mix", source_mix), ("token_ids", token_ids)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("source_mix", source_mix), ("token_ids", token_ids)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, licenses, line_runs, mixing, ngram_join, quality_votes, sharding, token_files, warc
+from plinth.llm import byte_bpe, embedding_forest, licenses, line_runs, mixing, ngram_join, quality_votes, sharding, token_files, warc
 from plinth.llm.common import documents
 from plinth.llm.oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest)
 
 
+def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
