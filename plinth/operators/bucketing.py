@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plinth.operators.order_stats import join_on
 from plinth.session import cut_lineage, measured
 
-# Price axis and depth of the halving.
+# Price axis (wider where the data go beyond it) and depth of the halving.
 PRICE_FLOOR, PRICE_CEILING = 0.0, 1e12
 MAX_DEPTH = 16
 
@@ -20,9 +20,13 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
 
     Only counts per bucket travel.  The place levels are decided from one count per full
     place path; price bands are then halved (geometrically, since prices are skewed)
-    round by round for the buckets that still overflow.
+    round by round for the buckets that still overflow.  Rows without a price in such a
+    bucket are a bucket of their own, with no bounds.
     """
     places = list(places)
+    ends = rows.agg(F.floor(F.min(price)).cast("double").alias("a"), F.floor(F.max(price)).cast("double").alias("b")).first()
+    floor = min(PRICE_FLOOR, ends["a"] if ends["a"] is not None else PRICE_FLOOR)
+    ceiling = max(PRICE_CEILING, ends["b"] if ends["b"] is not None else PRICE_CEILING)
     full = measured(rows.groupBy(*places).agg(F.count("*").alias("n")))
     # Shallowest level at which the prefix of a path fits, else the deepest one.
     level = F.lit(len(places))
@@ -34,7 +38,7 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
     sized = sized.withColumn("level", level)
     prefix = [F.when(F.col("level") > i, F.col(p)).alias(p) for i, p in enumerate(places)]
     buckets = sized.select(*prefix, "level", "n").groupBy(*places, "level").agg(F.sum("n").alias("rows"))
-    bands = buckets.select(*places, "level", F.lit(PRICE_FLOOR).alias("low"), F.lit(PRICE_CEILING).alias("high"), "rows",
+    bands = buckets.select(*places, "level", F.lit(floor).alias("low"), F.lit(ceiling).alias("high"), "rows",
                            F.lit(0).alias("depth"))
     bands = cut_lineage(bands)
     done = bands.where(F.col("rows") <= capacity)
@@ -44,10 +48,13 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
         if over.isEmpty():
             break
         if priced is None:  # copies of a price collapse to a count before any round touches them
-            deep = over.select(*places)
-            priced = join_on(rows.select(*places, F.floor(price).cast("double").alias("p")), deep, places, "left_semi") \
-                .groupBy(*places, "p").agg(F.count("*").alias("c"))
+            deep = over.select(*places, "level")
+            priced = join_on(rows.select(*places, F.floor(price).cast("double").alias("__p")), deep.select(*places), places, "left_semi") \
+                .groupBy(*places, "__p").agg(F.count("*").alias("c"))
             priced = cut_lineage(priced)
+            unpriced = join_on(priced.where("__p IS NULL"), deep.select(*places, "level"), places, "inner")
+            done = done.unionByName(unpriced.select(*places, "level", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+                                                    F.col("c").alias("rows"), F.lit(0).alias("depth")))
         middle = F.floor(F.sqrt(F.greatest("low", F.lit(1.0)) * F.col("high")))
         middle = F.when((middle > F.col("low")) & (middle < F.col("high")), middle) \
             .otherwise(F.floor((F.col("low") + F.col("high")) / 2)).cast("double")
@@ -56,7 +63,7 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
             *places, "level", F.inline(F.array(
                 F.struct(F.col("low"), F.col("mid").alias("high")),
                 F.struct((F.col("mid") + 1).alias("low"), F.col("high")))))
-        counted = join_on(priced, halves, places, "inner").where(F.col("p").between(F.col("low"), F.col("high"))) \
+        counted = join_on(priced, halves, places, "inner").where(F.col("__p").between(F.col("low"), F.col("high"))) \
             .groupBy(*places, "level", "low", "high").agg(F.sum("c").alias("rows"))
         counted = cut_lineage(join_on(halves, counted.drop("level"), [*places, "low", "high"]).select(
             *places, "level", "low", "high", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(depth).alias("depth")))

@@ -214,10 +214,12 @@ def numbered(df: DataFrame, order: str, tie: Sequence[str] = (), out: str = "row
     Two bounded running sums (over cells of ``order``, then over its exact values inside
     a cell) give each value its offset; rows are numbered inside one value split again
     by the cell of the first tie column, so a value held by many rows is split as well.
+    Rows without an ``order`` value come first.
     """
     tie = list(tie)
     first_tie = value_cell(finite(tie[0]), 64) if tie else F.lit(0).cast("bigint")
-    rows = df.withColumn("__cell", value_cell(F.col(order).cast("double"))) \
+    cell = F.coalesce(value_cell(F.col(order).cast("double")), F.lit(-2**62))
+    rows = df.withColumn("__cell", cell) \
              .withColumn("__sub", F.coalesce(first_tie, F.lit(-2**62)))
     sub = rows.groupBy("__cell", order, "__sub").agg(F.count("*").alias("__n"))
     upto = lambda *part: Window.partitionBy(*part)
@@ -227,9 +229,9 @@ def numbered(df: DataFrame, order: str, tie: Sequence[str] = (), out: str = "row
         upto(F.lit(0)).orderBy("__cell").rowsBetween(*running)) - F.col("__cn")).alias("__b1"))
     sub = sub.withColumn("__b2", F.sum("__n").over(
         upto("__cell").orderBy(order, "__sub").rowsBetween(*running)) - F.col("__n"))
-    offsets = sub.join(cells, "__cell").select(order, "__sub", (F.col("__b1") + F.col("__b2")).alias("__before"))
+    offsets = sub.join(cells, "__cell").select(F.col(order).alias("__o"), F.col("__sub").alias("__s"), (F.col("__b1") + F.col("__b2")).alias("__before"))
     inner = Window.partitionBy(order, "__sub").orderBy(*[F.col(c).asc_nulls_first() for c in (tie or [order])])
     return (rows.withColumn("__in", F.row_number().over(inner))
-            .join(offsets, [order, "__sub"])
+            .join(offsets, F.col(order).eqNullSafe(F.col("__o")) & (F.col("__sub") == F.col("__s")))
             .withColumn(out, F.col("__before") + F.col("__in"))
-            .drop("__cell", "__sub", "__in", "__before"))
+            .drop("__cell", "__sub", "__o", "__s", "__in", "__before"))

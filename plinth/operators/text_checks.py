@@ -76,12 +76,12 @@ def shared_openings(pars: DataFrame, n: int = OPENING_WORDS) -> DataFrame:
 def repeated_runs(pars: DataFrame, n: int = RUN_WORDS) -> DataFrame:
     """The first six-word run of each paragraph that an earlier paragraph already used.
 
-    A run travels as two independent 64-bit hashes and its place as one number, so the big
-    aggregate is a hash aggregate over integers that collapses map-side; the words of a run
-    are read again only for the one hit a paragraph reports.
+    A run travels as two independent 64-bit hashes with its place (document, paragraph), and
+    the aggregate collapses map-side; the words of a run are read again only for the one hit
+    a paragraph reports.  Document ids may be of any orderable type.
     """
     ws = pars.select("doc_id", "par", words().alias("w")).where(F.size("w") >= n) \
-        .withColumn("place", F.shiftleft(F.col("doc_id").cast("bigint"), 24) + F.col("par"))
+        .withColumn("place", F.struct("doc_id", "par"))
     starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
     slices = F.transform(starts, lambda i: F.struct(
         F.xxhash64(F.slice("w", i, F.lit(n))).alias("h1"), F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))).alias("h2")))
@@ -90,10 +90,9 @@ def repeated_runs(pars: DataFrame, n: int = RUN_WORDS) -> DataFrame:
         .where("first < last").select("h1", "h2", "first")
     hits = runs.join(used, ["h1", "h2"]).where("place > first") \
         .groupBy("place").agg(F.min(F.struct("at", "first")).alias("r"))
-    low = F.shiftleft(F.lit(1).cast("bigint"), 24)
     return ws.join(hits, "place").select(
         "doc_id", "par", F.array_join(F.slice("w", F.col("r.at") + 1, F.lit(n)), " ").alias("run"),
-        F.shiftright("r.first", 24).alias("first_doc"), F.pmod("r.first", low).cast("int").alias("first_par"))
+        F.col("r.first.doc_id").alias("first_doc"), F.col("r.first.par").alias("first_par"))
 
 
 def notation_hits(pars: DataFrame, marks: list[str] = NOTATION) -> DataFrame:

@@ -26,7 +26,7 @@ def translated(text: Column, dictionary: Mapping[str, str]) -> Column:
     words = F.split(F.trim(text), r"\s+")
     one = lambda w: F.try_element_at(entries, F.lower(w))
     capital = lambda w: F.substring(w, 1, 1).rlike(r"\p{Lu}")
-    shape = lambda w, t: F.when(capital(w), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000))).otherwise(t)
+    shape = lambda w, t: F.when(capital(w), F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))).otherwise(t)
     each = F.transform(words, lambda w: F.coalesce(shape(w, one(w)), w))
     known = F.forall(words, lambda w: one(w).isNotNull())
     return F.struct(F.coalesce(shape(text, whole), F.array_join(each, " ")).alias("text"),

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import importlib.util
-import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def remember_no_ipython() -> None:
-    """Spark looks for IPython at every Column call; where there is none, let it know once.
-
-    A failing import scans the whole path each time, several milliseconds per expression.
-    """
-    if "IPython" not in sys.modules and importlib.util.find_spec("IPython") is None:
-        sys.modules["IPython"] = None
-
-
 def build_session(app: str = "plinth", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, no NTZ surprises)."""
     builder = SparkSession.builder.appName(app)

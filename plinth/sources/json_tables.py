@@ -67,17 +67,40 @@ def envelope_note(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in scalars])).alias("note"))
 
 
-def read_json(spark: SparkSession, path: str, name: str = "data") -> dict[str, DataFrame]:
-    """JSON lines when most lines parse on their own, else one document per file."""
+def json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files of one document each, files of JSON lines).
+
+    A file whose first filled line parses on its own is read by lines.  Any other is tried as
+    one document, and read by lines, damage counted, where it is none.
+    """
     ok = F.try_parse_json("value").isNotNull()
-    by_line = spark.read.text(path).where("trim(value) <> ''").agg((F.count_if(ok) * 2 > F.count("*")).alias("by_line")).first()[0]
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.input_file_name().alias("file"), ok.alias("ok"), F.monotonically_increasing_id().alias("at"))
+    firsts = lines.groupBy("file").agg(F.min_by("ok", "at").alias("ok")).collect()  # one row per file
+    by_line, open_ = [r["file"] for r in firsts if r["ok"]], [r["file"] for r in firsts if not r["ok"]]
+    whole: list[str] = []
+    if open_:
+        tried = spark.read.text(open_, wholetext=True).select(F.input_file_name().alias("file"), ok.alias("ok")).collect()
+        whole, by_line = [r["file"] for r in tried if r["ok"]], by_line + [r["file"] for r in tried if not r["ok"]]
+    return sorted(whole), sorted(by_line)
+
+
+def read_json(spark: SparkSession, path: str, name: str = "data") -> dict[str, DataFrame]:
+    """Tables of the JSON files below a path; ``damaged_lines`` tells what reading by lines left out."""
+    whole, by_line = json_files(spark, path)
+    out = tables_of(spark.read.option("multiLine", True).json(whole), name) if whole else {}
     if by_line:
-        rows, _ = read_json_lines(spark, path)
-        return tables_of(rows, name)
-    return tables_of(spark.read.option("multiLine", True).json(path), name)
+        for key, rows in tables_of(read_json_lines(spark, by_line)[0], name).items():
+            out[key] = out[key].unionByName(rows, allowMissingColumns=True) if key in out else rows
+    return out
+
+
+def damaged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(damaged, lines) over the files that are read by lines."""
+    by_line = json_files(spark, path)[1]
+    return read_json_lines(spark, by_line)[1] if by_line else spark.createDataFrame([(0, 0)], "damaged long, lines long")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """(records of the sound lines, one row counting damaged and all lines).
 
     Damaged lines are skipped and counted, never fatal.

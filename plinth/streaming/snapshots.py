@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.operators.order_stats import keep_first
+
 LOG_KEYS = ["listing_id", "captured_at", "category"]
 
 
@@ -30,7 +32,7 @@ def append_new(batch: DataFrame, log_path: str, keys: Sequence[str] = tuple(LOG_
     """
     spark = batch.sparkSession
     keys = list(keys)
-    fresh = batch.dropDuplicates(keys).withColumn("captured_day", F.to_date("captured_at"))
+    fresh = keep_first(batch, keys, keys).withColumn("captured_day", F.to_date("captured_at"))
     if _exists(spark, log_path):
         days = [r[0] for r in fresh.select("captured_day").distinct().collect()]
         known = spark.read.parquet(log_path).where(F.col("captured_day").isin(days)).select(*keys)
@@ -39,10 +41,8 @@ def append_new(batch: DataFrame, log_path: str, keys: Sequence[str] = tuple(LOG_
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except Exception:  # noqa: BLE001  (an unreadable path is an empty log)
-        return False
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def stream_to_log(stream: DataFrame, log_path: str, checkpoint: str, keys: Sequence[str] = tuple(LOG_KEYS)):
@@ -87,13 +87,26 @@ def daily_windows(stream: DataFrame, time: str = "ts", group: str = "event_type"
             .select(F.to_date("w.start").alias("day"), group, "n", "total"))
 
 
-def replace_months(batch: DataFrame, path: str, month: str = "month") -> None:
-    """Write a batch so that every month it holds replaces that month, and no other."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+def replace_months(batch: DataFrame, path: str, month: str = "month", run: int = 0, part: int = 0) -> None:
+    """Write one micro-batch of a run: a month of a newer run replaces that month, and no other.
+
+    Parts of one run add up; a part that is written again replaces itself.
+    """
+    (batch.withColumn("__run", F.lit(run)).withColumn("__part", F.lit(part)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(month, "__run", "__part").parquet(path))
+
+
+def read_months(spark: SparkSession, path: str, month: str = "month") -> DataFrame:
+    """Every month as its newest run left it."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    newest = rows.groupBy(F.col(month).alias("__m")).agg(F.max("__run").alias("__newest"))
+    return rows.join(newest, rows[month].eqNullSafe(newest["__m"]) & (F.col("__run") == F.col("__newest"))) \
+        .drop("__m", "__run", "__newest", "__part")
 
 
-def stream_months(stream: DataFrame, path: str, checkpoint: str, month: str = "month"):
-    return (stream.writeStream.foreachBatch(lambda batch, _: replace_months(batch, path, month))
+def stream_months(stream: DataFrame, path: str, checkpoint: str, month: str = "month", run: int = 0):
+    """One run over what has arrived; a re-run takes a larger ``run`` and a checkpoint of its own."""
+    return (stream.writeStream.foreachBatch(lambda batch, part: replace_months(batch, path, month, run, part))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -259,8 +259,9 @@ def replace_months(spark, sf):
     path = SS.work_folder(spark, "months")
     SS.replace_months(rows.where("o_orderkey % 2 = 0"), path)
     source = _written(spark, rows, "parquet", "month-source")
-    SS.stream_months(spark.readStream.schema(rows.schema).parquet(source), path, SS.work_folder(spark, "months-state")).awaitTermination()
-    return spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"))
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    SS.stream_months(arriving, path, SS.work_folder(spark, "months-state"), run=1).awaitTermination()
+    return SS.read_months(spark, path).groupBy("month").agg(F.count("*").alias("n"))
 
 
 @query("str_05_daily_windows_stream", doubles="total", sql="""
