@@ -16,8 +16,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     folder, and the joins read both sides from there, so that AQE can split the partition of a
     node that very many edges or labels name.
     """
-    one_way = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = staged(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
+    both = staged(edges.select(F.inline(ways)).where("a <> b").distinct(), "edges")  # what finds the edges runs once
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         told = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("m"))
