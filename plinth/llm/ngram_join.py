@@ -96,8 +96,11 @@ def similar(common: int, n: int, m: int, percent: int) -> bool:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Parity of the shingles of each cell; as many cells as the next power of two, 64 at least."""
-    cells = max(64, 1 << (len(tokens) - 1).bit_length())
+    """Parity of the shingles of each cell; cells: the next power of two to half the set, 64 at least.
+
+    Two unrelated sets then differ in about a quarter of their size in cells, linked ones in less than 0.17.
+    """
+    cells = max(64, 1 << (len(tokens) - 1).bit_length() - 1 if len(tokens) > 1 else 64)
     counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
