@@ -23,14 +23,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches, text: str):
-    """Arrow batches cut so that the texts of one slice stay near SLICE_BYTES."""
+def slices(batches, text: str, most: int = SLICE_BYTES):
+    """Arrow batches cut so that the texts of one slice stay near ``most`` bytes."""
     for batch in batches:
         lengths = batch.column(text).cast(pa.large_binary())
         start = size = 0
         for row in range(batch.num_rows):
             size += len(lengths[row].as_buffer()) if lengths[row].is_valid else 0
-            if size >= SLICE_BYTES:
+            if size >= most:
                 yield batch.slice(start, row + 1 - start)
                 start, size = row + 1, 0
         if start < batch.num_rows:

@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from plinth.llm.common import shared_folder, slices, staged, utf8
 
 MAGIC = b"PLTOKIDX"
-# Chunks a task remembers; beyond it the memory is emptied, which costs time and changes nothing.
-REMEMBERED = 400_000
+# Chunks a Python worker remembers; beyond it the memory is emptied, which costs time and changes nothing.
+REMEMBERED = 800_000
+# New chunks in one call text, and call texts in one batch.
+TOGETHER, CALLS = 200, 10
+# Bytes of text whose chunks are split and looked up at a time.
+ENCODED_BYTES = 2 << 20
 PART_SCHEMA = "part long, path string, documents long, tokens long"
 
 
@@ -42,7 +46,8 @@ class ChunkEncoder:
     """Ids of a text through the tokenizers library.
 
     Its normalisation and split never reach across ASCII white space in a vocabulary that
-    drops white space, so the chunks between are encoded once each and remembered.
+    drops white space, so the chunks between are encoded once each and remembered.  New chunks
+    go to the library TOGETHER at a time, with a special token of the vocabulary between them.
     """
 
     def __init__(self, tokenizer_json: str, dtype: str, end_id: int):
@@ -51,16 +56,43 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype, self.end = np.dtype(dtype), np.array([end_id], dtype=dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.mark, self.between = next(((k, f" {t.content} ") for k, t in sorted(special.items()) if t.special and not t.normalized), (None, ""))
+
+    @classmethod
+    def of_worker(cls, *made_from) -> ChunkEncoder:
+        """The encoder of this Python worker, so that later tasks find the chunks of earlier ones.
+
+        The class is shipped by value and is one object in a worker; the attribute is set only there.
+        """
+        if cls.__dict__.get("latest", (None,))[0] != made_from:
+            cls.latest = made_from, cls(*made_from)
+        return cls.latest[1]
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        ids = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in ids]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        groups = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)] if self.between else [[c] for c in chunks]
+        for first in range(0, len(groups), CALLS):
+            some = groups[first:first + CALLS]
+            for group, raw in zip(some, self.raw([b"\n".join(g).decode().replace("\n", self.between) for g in some])):
+                cuts = [-1, *np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark).tolist(), len(raw) // self.dtype.itemsize]
+                if len(cuts) == len(group) + 1:
+                    parts = [raw[(a + 1) * self.dtype.itemsize:b * self.dtype.itemsize] for a, b in zip(cuts, cuts[1:])]
+                else:  # a chunk of the group holds the special token itself
+                    parts = self.raw([chunk.decode() for chunk in group])
+                self.known.update(zip(group, parts))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id, as bytes of the file's integer type."""
         split = [text.split() for text in texts]
         wanted = set().union(*split)
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
         new = [chunk for chunk in wanted if chunk not in self.known]
-        encoded = self.tokenizer.encode_batch([chunk.decode() for chunk in new], add_special_tokens=False)
-        self.known.update((chunk, np.array(e.ids, dtype=self.dtype).tobytes()) for chunk, e in zip(new, encoded))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(wanted)
+        self.learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, chunks)) + self.end for chunks in split]
 
@@ -68,12 +100,12 @@ class ChunkEncoder:
 def write_part(folder: str, part: int, batches, tokenizer_json: str, dtype: str, end_id: int):
     """Stream a range of documents into one part; returns its manifest row."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, width = ChunkEncoder(tokenizer_json, dtype, end_id), np.dtype(dtype).itemsize
+    encoder, width = ChunkEncoder.of_worker(tokenizer_json, dtype, end_id), np.dtype(dtype).itemsize
     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     lengths, ids, missing = [], [], []
     with open(path + ".bin", "wb") as out:
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", ENCODED_BYTES):
             for encoded in encoder.encode(utf8(batch.column("body"))):
                 out.write(encoded)
                 lengths.append(len(encoded) // width)
