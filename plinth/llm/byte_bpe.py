@@ -23,6 +23,8 @@ from plinth.llm.common import slices
 NONE = np.int32(np.iinfo(np.int32).max)
 # Pieces a task remembers; beyond it the memory is emptied, which costs time and changes nothing.
 REMEMBERED = 400_000
+# Texts split at once: the matches of a slice take some twelve times its bytes.
+SLICE_BYTES = 2 << 20
 # Rows longer than this merge by a queue of pairs, since a round of the matrix costs a whole row.
 LONG_PIECE = 512
 
@@ -91,14 +93,14 @@ class Vocabulary:
             todo, keys, slot = todo[go], keys[go], slot[go] + 1 & mask
         return out
 
-    def merge_matrix(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces of similar length."""
+    def merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of similar length, those of a piece as the bytes of 32-bit integers."""
         lengths = np.array([len(p) for p in pieces])
         width = int(lengths.max())
         place = np.arange(width)
         ids = np.full((len(pieces), width), -1, dtype=np.int32)
         ids[place < lengths[:, None]] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        out: list[list[int]] = [[]] * len(pieces)
+        out: list[bytes] = [b""] * len(pieces)
         rows = np.arange(len(pieces))
         while len(rows):
             ranks = self.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), -1)
@@ -108,7 +110,7 @@ class Vocabulary:
             best = ranks[np.arange(len(rows)), at]
             done = best == NONE
             for r, row in zip(rows[done].tolist(), ids[done]):
-                out[r] = row[row >= 0].tolist()
+                out[r] = row[row >= 0].tobytes()
             rows, ids, at, best = rows[~done], ids[~done], at[~done], best[~done]
             if not len(rows):
                 break
@@ -117,10 +119,10 @@ class Vocabulary:
             ids = np.where(place[:ids.shape[1]] > at[:, None], after, ids)
             ids = ids[:, :max(2, int((ids >= 0).sum(axis=1).max()))]  # compaction
         for r, row in zip(rows.tolist(), ids):
-            out[r] = row[row >= 0].tolist()
+            out[r] = row[row >= 0].tobytes()
         return out
 
-    def merge_long(self, piece: bytes, pairs: dict[tuple[int, int], int]) -> list[int]:
+    def merge_long(self, piece: bytes, pairs: dict[tuple[int, int], int]) -> bytes:
         """The same merges for one long piece, by a queue of (rank, place)."""
         ids = self.single[np.frombuffer(piece, dtype=np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
@@ -137,15 +139,15 @@ class Vocabulary:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < len(ids) and (ids[a], ids[b]) in pairs:
                     heapq.heappush(queue, (pairs[ids[a], ids[b]], a))
-        return [x for x in ids if x >= 0]
+        return np.array([x for x in ids if x >= 0], dtype=np.int32).tobytes()
 
     def pairs(self) -> dict[tuple[int, int], int]:
         used = np.flatnonzero(self.ranks != NONE)
         keys = self.keys[used]
         return dict(zip(zip((keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()), self.ranks[used].tolist()))
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             buckets.setdefault(len(piece) if len(piece) <= 8 else 1 << (len(piece) - 1).bit_length(), []).append(i)
@@ -169,7 +171,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pattern.findall(text) for text in texts]
@@ -178,13 +180,8 @@ class Encoder:
             self.known = {}
         new = [piece for piece in wanted if piece not in self.known]
         self.known.update(zip(new, self.vocabulary.encode_pieces([piece.encode() for piece in new])))
-        known, out = self.known, []
-        for pieces in split:
-            ids: list[int] = []
-            for piece in pieces:
-                ids += known[piece]
-            out.append(np.array(ids, dtype=np.int32))
-        return out
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, pieces)), dtype=np.int32) for pieces in split]
 
 
 def list_array(parts: list[np.ndarray]) -> pa.Array:
@@ -203,7 +200,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
 
     def run(batches):
         encoder = Encoder(Vocabulary.of(shared.value), pattern)
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", SLICE_BYTES):
             texts = [text or "" for text in batch.column("body").to_pylist()]
             yield pa.record_batch([batch.column("id"), list_array(encoder.encode(texts))], names=["id", "ids"])
 
