@@ -88,7 +88,10 @@ def closest_subset(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarr
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """(id, source, size, order, bucket) of each row: its words and its place in the seeded order."""
+    """(id, source, name, size, order, bucket) of each row: its words and its place in the seeded order.
+
+    ``name`` is the source as a text that is never null, so that grouping, ranking and joining share one partitioning.
+    """
     kinds = {name: docs.schema[name].dataType.simpleString() for name in (id_col, source_col)}
 
     def run(batches):
@@ -99,7 +102,8 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("body"))
     rows = rows.mapInArrow(run, f"id {kinds[id_col]}, source {kinds[source_col]}, size long")
     order = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    return rows.withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)).cast("int"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return rows.withColumn("name", name).withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)).cast("int"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
@@ -111,8 +115,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     any other; an empty table gives no rows; other columns are not looked at.
     """
     rows = staged(sized(docs, id_col, text_col, source_col, seed), "sizes")
-    cells = staged(rows.groupBy("source", "size", "bucket").count(), "cells")
-    by_size = cells.groupBy("source", "size").agg(F.sum("count").alias("count"))
+    cells = staged(rows.groupBy("source", "name", "size", "bucket").count(), "cells")
+    by_size = cells.groupBy("source", "name", "size").agg(F.sum("count").alias("count"))
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -128,22 +132,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         rounds = int(goal // whole) if whole else 0
         part["rounds"] = rounds
         part["more"] = closest_subset(part["size"].to_numpy(), part["count"].to_numpy(), int(round(goal - rounds * whole)))
-        return part[["source", "size", "source_size", "target", "rounds", "more"]]
+        return part[["name", "size", "source_size", "target", "rounds", "more"]]
 
     # One row for each exact size of a source, whatever its number of documents.
     picks = (by_size.join(F.broadcast(plan), by_size["source"].eqNullSafe(plan["source"]))  # at most MAX_SOURCES rows
-             .select(by_size["source"], "size", "count", "source_size", "target")
-             .groupBy("source").applyInPandas(fill, f"source {kind}, size long, source_size long, target double, rounds long, more long"))
-    picks = staged(picks, "picks").withColumnsRenamed({"source": "s", "size": "z"})
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = (cells.join(picks, cells["source"].eqNullSafe(picks["s"]) & (cells["size"] == picks["z"]))
-             .select("source", "size", "bucket", "count", "source_size", "target", "rounds", "more",
-                     F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))  # at most BUCKETS rows in a partition
-             .select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), "source_size", "target", "rounds",
+             .select(by_size["source"], "name", "size", "count", "source_size", "target")
+             .groupBy("name").applyInPandas(fill, "name string, size long, source_size long, target double, rounds long, more long"))
+    picks = staged(picks, "picks")
+    before = Window.partitionBy("name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Both sides grow with the number of exact sizes: merged, never broadcast.
+    dealt = (cells.join(picks.hint("merge"), ["name", "size"])
+             .withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # at most BUCKETS rows in a partition
+             .select("name", "size", "bucket", "source_size", "target", "rounds",
                      F.greatest(F.lit(0), F.least(F.col("count"), F.col("more") - F.col("before"))).alias("take")))
-    place = F.rank().over(Window.partitionBy("source", "size", "bucket").orderBy("order", F.col("id").cast("string")))
-    ranked = rows.select("*", place.alias("place"))
-    out = ranked.join(dealt, ranked["source"].eqNullSafe(dealt["s"]) & (ranked["size"] == dealt["z"]) & (ranked["bucket"] == dealt["b"]))
+    place = F.rank().over(Window.partitionBy("name", "size", "bucket").orderBy("order", F.col("id").cast("string")))
+    out = rows.withColumn("place", place).join(dealt.hint("merge"), ["name", "size", "bucket"])
     taken = F.col("size") * (F.col("rounds") + (F.col("place") <= F.col("take")).cast("long"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"))
 
