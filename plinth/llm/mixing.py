@@ -2,9 +2,9 @@
 
 The size of a document is its number of words.  A source's target is met by whole rounds of
 the source plus a part of it.  For the part, documents are counted by exact size; every size
-gives its proportional number, and a bounded-knapsack dynamic program over the documents
-left picks how many more of each size close the gap.  Which documents of a size are taken
-follows from a seeded hash.
+gives its proportional number, fractions rounded by the seed, and a bounded-knapsack dynamic
+program over the documents left picks how many more of each size close the small gap.  Which
+documents of a size are taken follows from a seeded hash.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import slices, staged, utf8
 
 WEIGHTS = (3, 1, 2)
-# The dynamic program covers gaps up to this many words; larger gaps are first narrowed by whole documents.
+# The dynamic program covers gaps up to this many words; larger gaps are first narrowed by further proportional rounds.
 DP_WORDS = 1 << 16
 # Hash buckets a (source, size) is dealt into, so that one common size is not ranked in one task.
 BUCKETS = 256
@@ -47,43 +48,115 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     return out
 
 
-def closest_subset(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
-    """How many of each size to take, at most ``counts``, so that the sum comes closest to ``goal`` from below.
+def rounded_up(rest: list[int], total: int, rng: np.random.Generator) -> np.ndarray:
+    """Which of the shares ``rest[i] / total`` become one: each with that probability, by ordered pivotal sampling.
 
-    Proportional numbers first, then whole documents from the largest size down until the gap
-    is at most DP_WORDS, then the knapsack: reachable sums are the bits of one integer, a
-    count is split into powers of two, and the sums before each piece tell the way back.
+    Two neighbours at a time settle one of them and hand the other on, so that the number chosen
+    up to any place differs from the sum of the shares up to there by less than one.
     """
-    total = int((sizes * counts).sum())
-    taken = np.zeros_like(counts)
-    if total <= 0 or goal <= 0:
-        return taken
-    goal = min(goal, total)
-    taken[:] = [int(c) * goal // total for c in counts]
-    gap = goal - int((sizes * taken).sum())
-    for i in np.argsort(-sizes, kind="stable"):
-        if gap <= DP_WORDS:
-            break
-        if sizes[i] > 0:
-            more = min(int(counts[i] - taken[i]), (gap - DP_WORDS + int(sizes[i]) - 1) // int(sizes[i]), gap // int(sizes[i]))
-            taken[i] += more
-            gap -= more * int(sizes[i])
+    up = np.zeros(len(rest), dtype=np.int64)
+    open_, share = -1, 0
+    for i, r in enumerate(rest):
+        if not r:
+            continue
+        if not share:
+            open_, share = i, r
+            continue
+        both = share + r
+        if both <= total:  # one of them is out, the other goes on with both shares
+            if rng.random() * both < r:
+                open_ = i
+            share = both
+        else:  # one of them is in, the other goes on with what is left
+            left = both - total
+            if rng.random() * (2 * total - both) < total - r:
+                up[open_], open_ = 1, i
+            else:
+                up[i] = 1
+            share = left
+        if share == total:
+            up[open_], share = 1, 0
+    if share and rng.random() * total < share:
+        up[open_] = 1
+    return up
+
+
+def knapsack(sizes: np.ndarray, left: np.ndarray, gap: int, turn: np.ndarray) -> np.ndarray:
+    """How many of each size, at most ``left``, for the largest sum up to ``gap``; sizes are tried in the order ``turn``.
+
+    Reachable sums are the bits of one integer, a count is split into powers of two, and the sums
+    before each piece tell the way back.
+    """
+    more = np.zeros_like(left)
     reach, steps, within = 1, [], (1 << (gap + 1)) - 1
-    for i in np.argsort(sizes, kind="stable"):
-        size, left, piece = int(sizes[i]), int(counts[i] - taken[i]), 1
+    for i in turn:
+        size, n, piece = int(sizes[i]), int(left[i]), 1
         if size <= 0 or size > gap:
             continue
-        left = min(left, gap // size)
-        while left > 0 and not reach >> gap & 1:
-            k = min(piece, left)
+        n = min(n, gap // size)
+        while n > 0 and not reach >> gap & 1:
+            k = min(piece, n)
             steps.append((i, k, reach))
             reach |= reach << (k * size) & within
-            left, piece = left - k, piece * 2
+            n, piece = n - k, piece * 2
     best = reach.bit_length() - 1
     for i, k, before in reversed(steps):
         if not before >> best & 1:
-            taken[i] += k
+            more[i] += k
             best -= k * int(sizes[i])
+    return more
+
+
+def closest_subset(sizes: np.ndarray, counts: np.ndarray, goal: int, seed: int = 17) -> np.ndarray:
+    """How many of each size to take, at most ``counts``, so that the sum comes closest to ``goal`` from below.
+
+    Every size gets its proportional number; the fractions that are left are rounded by the seed,
+    in order of size, so that all sizes have their share and the sum is off by about the two longest
+    documents at most.  What is too much is given back, and while the gap is above DP_WORDS the same
+    is done with the documents left.  The knapsack closes what remains; where it cannot, some
+    documents are given back, so that it has more to choose from.
+    """
+    total = int((sizes * counts).sum())
+    taken = np.zeros_like(counts)
+    if total <= 0 or goal <= 0:
+        return taken
+    gap = goal = min(goal, total)
+    rng = np.random.default_rng(seed)
+    turn = rng.permutation(len(sizes))
+    order = np.argsort(sizes, kind="stable")
+    first = True
+    while first or gap > DP_WORDS:
+        first = False
+        left = np.where((sizes > 0) & (sizes <= gap), counts - taken, 0)
+        room = int((sizes * left).sum())
+        if room <= gap:
+            taken += left
+            gap -= room
+            break
+        more = np.array([int(c) * gap // room for c in left], dtype=counts.dtype)
+        more[order] += rounded_up([int(left[i]) * gap % room for i in order], room, rng)
+        gap -= int((sizes * more).sum())
+        for i in turn:
+            if gap >= 0:
+                break
+            if more[i]:
+                more[i] -= 1
+                gap += int(sizes[i])
+        taken += more
+    taken += knapsack(sizes, counts - taken, gap, turn)
+    gap = goal - int((sizes * taken).sum())
+    step, least = 1, goal % int(np.gcd.reduce(sizes[counts > 0]))
+    while gap > least and step <= len(sizes):  # a small gap may have no subset: widen it by documents given back
+        wide = taken.copy()
+        given = [i for i in turn if sizes[i] > 0 and wide[i]][:step]
+        wide[given] -= 1
+        room = goal - int((sizes * wide).sum())
+        if not given or room > DP_WORDS:
+            break
+        wide += knapsack(sizes, counts - wide, room, turn)
+        if goal - int((sizes * wide).sum()) < gap:
+            taken, gap = wide, goal - int((sizes * wide).sum())
+        step *= 2
     return taken
 
 
@@ -131,7 +204,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         whole, goal = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
         rounds = int(goal // whole) if whole else 0
         part["rounds"] = rounds
-        part["more"] = closest_subset(part["size"].to_numpy(), part["count"].to_numpy(), int(round(goal - rounds * whole)))
+        own = xxhash.xxh3_64_intdigest(part["name"].iloc[0].encode(), seed=seed & (1 << 64) - 1)
+        part["more"] = closest_subset(part["size"].to_numpy(), part["count"].to_numpy(), int(round(goal - rounds * whole)), own)
         return part[["name", "size", "source_size", "target", "rounds", "more"]]
 
     # One row for each exact size of a source, whatever its number of documents.

@@ -3,8 +3,10 @@
 import collections
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from plinth.llm import ngram_join
+from plinth.llm import mixing, ngram_join
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -37,3 +39,26 @@ def test_near_duplicate_stage_links_five_words_at_eighty_percent(spark):
     assert kept == kept_by_brute_force(rows, 5, 80) == [1, 4, *range(20, 30)]
     # the query's own figures stay: there all four pages stand apart
     assert (ngram_join.GRAM, ngram_join.PERCENT) == (4, 85) and kept_by_brute_force(rows, 4, 85) == [i for i, _ in rows]
+
+
+def test_mixture_takes_every_size_by_its_share():
+    sizes = np.unique(np.random.default_rng(3).integers(20, 3000, 800))  # one document of each size
+    counts, goal = np.ones(len(sizes), dtype=np.int64), int(sizes.sum()) * 4 // 10
+    assert goal > mixing.DP_WORDS
+    picks = np.array([mixing.closest_subset(sizes, counts, goal, seed) for seed in range(100)])
+    assert ((picks * sizes).sum(axis=1) == goal).all()  # the budget is met to the word
+    parts = [part.mean() for part in np.array_split(picks, 8, axis=1)]  # from the shortest to the longest
+    assert all(0.35 < share < 0.45 for share in parts) and picks.mean(axis=0).max() < 0.7
+    assert (mixing.closest_subset(sizes, counts, goal, 5) == picks[5]).all()
+
+
+def test_gaps_above_the_knapsack_are_closed_too():
+    rng = np.random.default_rng(0)
+    for seed in range(40):
+        sizes = np.unique(rng.integers(50_000, 900_000, 30))
+        counts = rng.integers(1, 3, len(sizes))
+        goal = int((sizes * counts).sum()) // 3
+        taken = mixing.closest_subset(sizes, counts, goal, seed)
+        left = goal - int((sizes * taken).sum())
+        assert (taken >= 0).all() and (taken <= counts).all() and 0 <= left
+        assert left < sizes[counts > taken].min()  # no document left would still fit
