@@ -40,6 +40,13 @@ def clean_text(x) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x.cast("string"), r"\s+", " ")), F.lit(""))
 
 
+def text_number(text: Column) -> Column:
+    """A decimal number written with point or comma, NULL for any other text ("nan", "inf" and "1d" too)."""
+    digits = "[0-9](_?[0-9])*"
+    whole = text.rlike(rf"^[+-]?({digits}([.,]({digits})?)?|[.,]{digits})([eE][+-]?[0-9]+)?\z")
+    return F.when(whole, finite(F.translate(text, ",_", ".").try_cast("double")))
+
+
 def place_name(place: Column) -> Column:
     """Display name, else the slug in title case."""
     slug = clean_text(place["normalized_name"])

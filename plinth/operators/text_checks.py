@@ -114,12 +114,12 @@ def flat_paragraphs(pars: DataFrame) -> DataFrame:
     return pars.where(is_flat("text")).select("doc_id", "par")
 
 
-def issues(pars: DataFrame) -> DataFrame:
+def issues(pars: DataFrame, phrases: list[str] = BANNED) -> DataFrame:
     """Every check as (doc_id, par, code, detail)."""
     full = pars.where("trim(text) <> ''")
     code = lambda df, name, detail: df.select("doc_id", "par", F.lit(name).alias("code"), detail.cast("string").alias("detail"))
     return (code(pars.where("trim(text) = ''"), "empty", F.lit(""))
-            .unionByName(code(phrase_hits(full), "phrase", F.col("phrase")))
+            .unionByName(code(phrase_hits(full, phrases), "phrase", F.col("phrase")))
             .unionByName(code(too_long(full), "long", F.col("chars")))
             .unionByName(code(shared_openings(full), "opening", F.col("opening")))
             .unionByName(code(repeated_runs(full), "repeat", F.col("run")))

@@ -10,7 +10,7 @@ from plinth.operators import asof, drivers as D
 from plinth.operators import index as I
 from plinth.operators import regional as R
 from plinth.session import measured
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.series_queries import NEAR, RANKED, roles, ROLES_SQL  # noqa: F401
 from workload.tables import (FX, LISTINGS, NATIONAL, PANEL, QUARTERLY, fx_rates, listings, monthly_panel,
                              national_panel, quarterly, table)
@@ -620,3 +620,16 @@ def market_flags(spark, sf):
     conc = X.concentration(rows.where("metric = 'transactions'"), "region", "value", "date")
     none = rows.select(F.lit(0).alias("best_lag"), F.lit(False).alias("detected")).where("false")
     return market_rules(R.convergence(rows, "region", ["transactions"]), conc, none.select("best_lag"), none.select("detected"))
+
+
+@query("rul_01_market_flags_all", sql=f"""SELECT code FROM ({ORACLES["rul_01_market_flags"]})
+UNION ALL SELECT DISTINCT 'leading_indicator' FROM ({LINKS} SELECT * FROM links) WHERE best_lag > 0
+UNION ALL SELECT DISTINCT 'seasonal' FROM ({ORACLES["ts_05_seasonal_effects"]}) WHERE detected""")
+def market_flags_all(spark, sf):
+    """All four rules have their tables; ``rul_01_market_flags`` gives two of them empty ones."""
+    from plinth.operators import cross_section as X
+    from plinth.operators import series as S
+    from plinth.operators.report import market_rules
+    rows = monthly_panel(spark, sf)
+    conc = X.concentration(rows.where("metric = 'transactions'"), "region", "value", "date")
+    return market_rules(R.convergence(rows, "region", ["transactions"]), conc, links_of(spark, sf), S.seasonal_effects(rows, ["metric", "region"]))

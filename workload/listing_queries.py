@@ -78,6 +78,21 @@ def safe_text(spark, sf):
         "doc_id", L.clean_text("text").alias("text"), L.finite(first.try_cast("double")).alias("value"))
 
 
+# What a number in a text is: digits (single underscores between them), a point or comma, an exponent.
+FLOAT_SQL = r"""CASE WHEN regexp_full_match(word, '[+-]?([0-9](_?[0-9])*([.,]([0-9](_?[0-9])*)?)?|[.,][0-9](_?[0-9])*)([eE][+-]?[0-9]+)?')
+  THEN TRY_CAST(replace(replace(word, ',', '.'), '_', '') AS DOUBLE) END"""
+
+
+@query("lst_03_text_and_float_all", doubles="value", sql=rf"""
+SELECT doc_id, text, CASE WHEN isfinite(number) THEN number END AS value FROM (
+  SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS text, {FLOAT_SQL} AS number
+  FROM (SELECT doc_id, text, split_part(text, ' ', 1) AS word FROM documents))""")
+def safe_text_all(spark, sf):
+    """Every document; ``lst_03_safe_text_and_float`` leaves out those whose first word has nan, inf, e or _."""
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    return table(spark, sf, "documents").select("doc_id", L.clean_text("text").alias("text"), L.text_number(first).alias("value"))
+
+
 @query("src_21_explode_pages", sql=SOURCE_ADS + " SELECT kind, count(*) AS adverts, count(DISTINCT listing_id) AS ids FROM src GROUP BY 1")
 def explode_pages(spark, sf):
     rows = ads(spark, sf)

@@ -119,6 +119,18 @@ def outer(spark, sf):
     return a.join(b, "date", "full")
 
 
+@query("jn_01_full_outer_dates_overlap", doubles="price income", sql="WITH " + PANEL + """,
+a AS (SELECT date, avg(value) AS price FROM panel WHERE metric = 'price' AND date < DATE '2000-01-01' GROUP BY 1),
+b AS (SELECT date, avg(value) AS income FROM panel WHERE metric = 'income' AND date >= DATE '1997-01-01' GROUP BY 1)
+SELECT date, price, income FROM a FULL JOIN b USING (date)""")
+def outer_overlap(spark, sf):
+    """Two filled ranges that overlap: dates of the left side only, of both, and of the right side only."""
+    rows = monthly_panel(spark, sf)
+    a = rows.where("metric = 'price' AND date < DATE '2000-01-01'").groupBy("date").agg(F.avg("value").alias("price"))
+    b = rows.where("metric = 'income' AND date >= DATE '1997-01-01'").groupBy("date").agg(F.avg("value").alias("income"))
+    return a.join(b, "date", "full")
+
+
 # Holes for the regularising operators: two order months of every eleven are taken out.
 HOLEY = PANEL + """,
 holey AS (SELECT metric, region, date, value FROM panel

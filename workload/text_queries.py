@@ -8,7 +8,7 @@ from plinth.operators import bucketing as B
 from plinth.operators import pages as G
 from plinth.operators import text_checks as T
 from plinth.session import spread
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.tables import LISTINGS, listings, table
 
 PARS = r"""WITH pars AS (
@@ -90,6 +90,27 @@ def rewritable(spark, sf):
     return T.rewritable(tagged)
 
 
+# Every check, each in the SQL of its own query.
+ISSUES = "(" + " UNION ALL ".join(f"SELECT doc_id, par, {code} AS code FROM ({sql})" for code, sql in [
+    ("'empty'", PARS + " SELECT doc_id, par FROM pars WHERE trim(text) = ''"), ("'phrase'", ORACLES["txt_06_banned_phrases"]),
+    ("'long'", ORACLES["txt_07_long_paragraphs"]), ("'opening'", ORACLES["txt_08_shared_openings"]),
+    ("'repeat'", ORACLES["txt_09_shingle_repeats"]), ("code", ORACLES["txt_10_notation_residue"]),
+    ("'flat'", ORACLES["txt_11_flat_paragraphs"])]) + ") AS issues"
+
+
+@query("agg_26_issue_counts_all", sql=f"SELECT code, count(*) AS n FROM {ISSUES} GROUP BY 1")
+def issue_counts_all(spark, sf):
+    """All seven checks; ``agg_26_issue_counts`` runs two of them."""
+    return T.issue_counts(T.issues(pars(spark, sf), PHRASES))
+
+
+@query("rpt_13_rewritable_issues_all", sql=f"""
+SELECT doc_id, par, code, count(*) AS n FROM {ISSUES} WHERE code IN ('phrase', 'repeat', 'opening', 'long', 'flat', 'notation') GROUP BY 1, 2, 3""")
+def rewritable_all(spark, sf):
+    """All seven checks; ``rpt_13_rewritable_issues`` runs two of them."""
+    return T.rewritable(T.issues(pars(spark, sf), PHRASES))
+
+
 @query("txt_12_fact_masking", sql=r"""
 WITH f AS (SELECT doc_id, regexp_extract_all(text,
   '\d{4}-yil\s+\d{1,2}-(?:yanvar|fevral|mart|aprel|may|iyun|iyul|avgust|sentabr|oktabr|noyabr|dekabr)\w*|\d{4}-yil\s+(?:IV|III|II|I)\s+chora[gqk]\w*|[+-]?\d+(?:[  ]\d{3})*(?:,\d+)?%?') AS v FROM documents)
