@@ -44,13 +44,14 @@ def special_period(text: Column) -> Column:
         _first_of(whole(yn, 1), month_number(grab(yn, 2))))
 
 
-def mixed_date(text: Column, day_first: bool = False) -> Column:
-    formats = TEXT_FORMATS + (DAY_FIRST + MONTH_FIRST if day_first else MONTH_FIRST + DAY_FIRST[-1:])
+def mixed_date(text: Column, day_first: bool = False, strict: bool = False) -> Column:
+    """Dates of several notations; ``strict``: with day first no date is read month first instead."""
+    formats = TEXT_FORMATS + (DAY_FIRST + MONTH_FIRST * (not strict) if day_first else MONTH_FIRST + DAY_FIRST[-1:])
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats])
 
 
-def period_date(text: Column, day_first: bool = False) -> Column:
-    return F.coalesce(special_period(text), mixed_date(text, day_first))
+def period_date(text: Column, day_first: bool = False, strict: bool = False) -> Column:
+    return F.coalesce(special_period(text), mixed_date(text, day_first, strict))
 
 
 def numeric_period(x: Column, low: Column, high: Column) -> Column:

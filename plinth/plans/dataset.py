@@ -17,6 +17,12 @@ def understand(table: DataFrame, overrides: DataFrame | None = None) -> tuple[Da
     return df, roles, profile.relevance(roles)
 
 
+def has_day_first(df: DataFrame, column: str) -> bool:
+    """Whether a text column writes 25/12/2024: more rows of the whole column can only be read that way than the other."""
+    rows = df.agg(*[F.count(period_date(F.col(column), day_first, strict=True)).alias(f"n{day_first:d}") for day_first in (False, True)]).first()
+    return rows["n1"] > rows["n0"]
+
+
 def tidy_panel(df: DataFrame, roles: DataFrame, verdicts: DataFrame, name: str = "table") -> tuple[DataFrame, DataFrame]:
     """(tidy panel, metric roles) from the picked date, region and segment columns."""
     picked = {r.role: r.column_name for r in profile.pick_columns(roles).collect()}
@@ -24,7 +30,8 @@ def tidy_panel(df: DataFrame, roles: DataFrame, verdicts: DataFrame, name: str =
         raise ValueError("no date column found")
     kept = {r.column_name for r in verdicts.where("keep").collect()} - set(picked.values())
     if dict(df.dtypes)[picked["date"]] == "string":
-        df = df.withColumn(picked["date"], period_date(F.col(picked["date"])))
+        text, day_first = F.col(picked["date"]), has_day_first(df, picked["date"])
+        df = df.withColumn(picked["date"], F.coalesce(period_date(text, day_first), period_date(text, not day_first)))
     df = df.withColumn(picked["date"], F.col(picked["date"]).cast("date"))
     metrics = roles.where(F.col("column_name").isin(sorted(kept)) & ~F.col("role").isin("identifier", "unit", "segment", "region"))
     named = metrics.select(F.col("column_name").alias("metric"), "role")
