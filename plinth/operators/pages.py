@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.session import cut_lineage
+
 # Trust weights, keyword and year bonuses, dropped tags.
 TRUSTED = {
     "stat.uz": 1.0, "cbu.uz": 1.0, "lex.uz": 1.0, "gov.uz": 0.9, "president.uz": 0.9, "mineconomy.uz": 0.9, "imf.org": 0.9,
@@ -71,12 +74,11 @@ def link_targets(html="html") -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)\bhref\s*=\s*["\']([^"\']+)["\']'), F.lit(1)))
 
 
-def embedded_offers(pages: DataFrame, key: str = "page_id", html: str = "html", path: str = "$.offers") -> DataFrame:
+def embedded_offers(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Offer objects carried as JSON by the scripts of a page, one row per offer id.
 
     Plain JSON, ``JSON.parse("...")`` and an assigned state are read; an offer has an id, a
-    params list and a location.  ``path`` says where in the payload the list sits; a payload
-    that is a list or a single offer is taken as it is.
+    params list and a location, and is found at any depth of a payload.
     """
     script = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1)))
     s = F.trim("s")
@@ -87,9 +89,14 @@ def embedded_offers(pages: DataFrame, key: str = "page_id", html: str = "html",
     payloads = F.filter(F.concat(F.array(s, assigned), unescaped), lambda p: p.rlike(r"^[\[{]"))
     docs = pages.select(key, script.alias("s")).select(key, F.explode(payloads).alias("p")) \
         .select(key, F.try_parse_json("p").alias("v")).where("v IS NOT NULL")
-    listed = F.coalesce(F.try_variant_get("v", path, "ARRAY<VARIANT>"), F.try_variant_get("v", "$", "ARRAY<VARIANT>"),
-                        F.array("v"))
-    offers = docs.select(key, F.explode(listed).alias("o")).select(
+    level = cut_lineage(docs.select(F.col(key).alias("page"), "v"))
+    found = []
+    while not level.isEmpty():  # one round for each level of the deepest payload
+        found.append(level.where(F.schema_of_variant("v").startswith("OBJECT")))
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("page", F.col("value").alias("v"))
+        level = cut_lineage(inner.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+    objects = reduce(DataFrame.unionByName, found) if found else level
+    offers = objects.select(F.col("page").alias(key), F.col("v").alias("o")).select(
         key, F.try_variant_get("o", "$.id", "string").alias("id"), F.try_variant_get("o", "$.title", "string").alias("title"),
         F.try_variant_get("o", "$.params", "ARRAY<VARIANT>").isNotNull().alias("has_params"),
         F.to_json(F.try_variant_get("o", "$.location", "variant")).alias("location"), F.to_json("o").alias("offer"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,43 +16,87 @@ from plinth.operators.clean import cleaned
 # Separators tried, suffixes read, hidden path parts.
 SEPARATORS = [",", ";", "\t", "|"]
 SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "parquet", "db", "sqlite", "sqlite3"]
-HIDDEN = r"/(\.|~\$|_)[^/]*"
+HIDDEN = r"/(\.|~\$)[^/]*"
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The separator that occurs most evenly in the first lines of a text (a reader option, not data)."""
-    lines = [r.value for r in spark.read.text(path).limit(20).collect()]
-
-    def rank(sep: str):
-        counts = [line.count(sep) for line in lines]
-        return (min(counts, default=0) > 0, len(set(counts)) == 1, min(counts, default=0))
-    return max(SEPARATORS, key=rank)
+def separators(spark: SparkSession, path: str) -> dict[str, str]:
+    """The separator of each file of a text table: the one that occurs most evenly in all its lines."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("path"), "value")
+    counts = lines.select("path", *[F.regexp_count("value", F.lit(re.escape(sep))).alias(f"c{i}") for i, sep in enumerate(SEPARATORS)])
+    parts = [f(f"c{i}").alias(f"{name}{i}") for i in range(len(SEPARATORS)) for f, name in ((F.min, "low"), (F.max, "high"))]
+    rows = counts.groupBy("path").agg(*parts).collect()  # one row for each file
+    rank = lambda r, i: (r[f"low{i}"] > 0, r[f"low{i}"] == r[f"high{i}"], r[f"low{i}"])
+    return {r["path"]: SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: rank(r, i))] for r in rows}
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, clean: bool = True) -> DataFrame:
-    """CSV, TSV and the like as text columns; types are decided by the cleaning, on whole columns."""
-    sep = sep or sniff_separator(spark, path)
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", False).csv(path)
+    """CSV, TSV and the like as text columns; types are decided by the cleaning, on whole columns.
+
+    Files of one separator are read together; files of different separators are joined by column name.
+    """
+    reader = spark.read.option("header", True).option("multiLine", False)
+    groups: dict[str, list[str]] = {}
+    for file, own in ({} if sep else separators(spark, path)).items():
+        groups.setdefault(own, []).append(unquote(file))
+    if len(groups) < 2:
+        df = reader.option("sep", sep or next(iter(groups), SEPARATORS[0])).csv(path)
+    else:
+        parts = [reader.option("sep", own).csv(sorted(found)) for own, found in sorted(groups.items())]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return cleaned(df) if clean else df
 
 
+def _below(spark: SparkSession, folder: str):
+    """(path, bytes) of every file below a folder, those that Spark's readers pass over included."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found = root.getFileSystem(conf).listFiles(root, True)
+    while found.hasNext():
+        file = found.next()
+        yield file.getPath().toString(), file.getLen()
+
+
 def discover(spark: SparkSession, folder: str, suffixes=tuple(SUFFIXES)) -> DataFrame:
     """(path, bytes, suffix) of every readable file below a folder; hidden and lock files are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    files = spark.createDataFrame(list(_below(spark, folder)), "path string, bytes long")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     below = F.replace(F.col("path"), F.lit(folder.rstrip("/")), F.lit(""))
-    return files.select("path", F.col("length").alias("bytes"), suffix.alias("suffix")) \
-        .where(F.col("suffix").isin(*suffixes) & ~below.rlike(HIDDEN))
+    return files.select("path", "bytes", suffix.alias("suffix")).where(F.col("suffix").isin(*suffixes) & ~below.rlike(HIDDEN))
+
+
+def footer_rows(spark: SparkSession, path: str) -> int | None:
+    """Rows that the footer of a Parquet file names, None where it has no readable footer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+    except Py4JJavaError:
+        return None
+    try:
+        return reader.getRecordCount()
+    finally:
+        reader.close()
 
 
 def read_parquet_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their file, manifest): a damaged file is listed with zero rows, not fatal."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True)
-    rows = reader.parquet(folder).withColumn("source_file", F.col("_metadata.file_path"))
-    counts = rows.groupBy(F.regexp_replace("source_file", "^file:/+", "/").alias("path")).agg(F.count("*").alias("rows"))
-    found = discover(spark, folder, ("parquet",)).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    manifest = found.join(counts, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0))) \
-        .withColumn("failed", F.col("rows") == 0)
+    """(rows with their file, manifest): a damaged file is listed with the rows that could be read, not fatal.
+
+    ``failed``: the footer cannot be read, or names another number of rows than were read.
+    """
+    found = [(r["path"], r["bytes"], r["suffix"], footer_rows(spark, r["path"])) for r in discover(spark, folder, ("parquet",)).collect()]
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    good = [path for path, _, _, rows in found if rows is not None]
+    plain = [path for path in good if not path.rsplit("/", 1)[1].startswith("_")]  # Spark reads no file of such a name
+    rows = (reader.parquet(*plain) if plain else spark.createDataFrame([], "value string")).withColumn(
+        "source_file", F.col("_metadata.file_path") if plain else F.lit(""))
+    at = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    # A bare count is taken from the footers: every column is read, so that damage inside a file shows.
+    hashed = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
+    counts = rows.groupBy(F.url_decode(F.replace(at("source_file"), F.lit("+"), F.lit("%2B"))).alias("path")) \
+        .agg(F.count("*").alias("rows"), F.bit_xor(hashed).alias("read")).where("read IS NOT NULL").drop("read")
+    files = spark.createDataFrame(found, "path string, bytes long, suffix string, named long").withColumn("path", at("path"))
+    manifest = files.join(counts, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0))) \
+        .withColumn("failed", ~F.col("rows").eqNullSafe(F.col("named"))).drop("named")
     return rows, manifest
 
 
