@@ -1,3 +1,32 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+# Every window of one to four words within a piece is counted; HUGEINT keeps products exact.
+OP13_PHRASES = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words
+           FROM (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)),
+spots AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces WHERE len(words) > 0),
+grams AS (SELECT lang, n, words[i:i + n - 1] AS gram FROM spots, (SELECT unnest([1, 2, 3, 4]) AS n) AS lengths WHERE i + n - 1 <= len(words)),
+freq AS (SELECT lang, n, gram, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS total FROM freq WHERE n = 1 GROUP BY lang),
+cand AS (SELECT lang, n, gram, f AS a FROM freq WHERE n > 1 AND f >= 30),
+cuts AS (SELECT lang, n, gram, a, unnest(range(1, n)) AS k FROM cand),
+scored AS (SELECT c.lang, c.gram, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+           FROM cuts c JOIN freq x ON x.lang = c.lang AND x.gram = c.gram[1:c.k]
+                       JOIN freq y ON y.lang = c.lang AND y.gram = c.gram[c.k + 1:c.n]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+inner_spans AS (SELECT lang, a, gram, n, unnest([2, 3]) AS m FROM cand WHERE n > 2),
+inner_parts AS (SELECT lang, a, gram[s:s + m - 1] AS part
+                FROM (SELECT lang, a, gram, m, unnest(range(1, n - m + 2)) AS s FROM inner_spans WHERE m < n)),
+longer AS (SELECT lang, part, max(a) AS longest FROM inner_parts GROUP BY ALL),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer x ON x.lang = w.lang AND x.part = w.gram
+         WHERE x.longest IS NULL OR 100 * x.longest < 80 * w.a),
+ranked AS (SELECT *, array_to_string(gram, ' ') AS phrase,
+                  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(gram, ' ')) AS place FROM kept)
+SELECT lang, place::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE place <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op13_phrases": OP13_PHRASES}

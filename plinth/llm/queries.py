@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, embedding_forest, licenses, line_runs, mixing, ngram_join, quality_votes, sharding, token_files, warc
+from plinth.llm import (byte_bpe, embedding_forest, licenses, line_runs, mixing, ngram_join, periodic_runs, phrases, piece_bpe, quality_votes,
+                        sharding, token_files, warc)
 from plinth.llm.common import documents
 from plinth.llm.oracles import ORACLES  # noqa: F401
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SHARD_BYTES = 1 << 20
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,4 +62,18 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_votes.judge(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_planted_runs(docs)))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_bpe.Model.read(PIECE_BPE)
+    return piece_bpe.digests(piece_bpe.encode(documents(spark, sf_dir), model), model)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
