@@ -6,9 +6,11 @@ interval in both; extending it by a word to the left (right) is one rank query i
 transform, and all intervals of one length are extended at once.  Every shard gives the counts of its
 phrases and extensions; Spark sums them.
 
-Three passes count words, pairs and longer phrases.  Only what is frequent in all texts of a language is
-extended: a phrase is as rare as its rarest part.  The frequent words and pairs travel as a bit filter of
-fixed size; what it lets through in error is counted and then dropped like any rare phrase.
+A phrase is as rare as its rarest part, so only what is frequent in all texts of a language is extended.
+Two passes sum hashes of words, then of pairs, over all shards: 64 bits instead of strings, most of which
+are rare.  Frequent hashes travel as a bit filter of fixed size.  A third pass counts what they let through,
+words, pairs and longer phrases, by the phrases themselves: what hashes let through in error is counted
+and dropped like any rare phrase.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from plinth.llm.common import slices, staged
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 NO_LANG = "und"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Bits of a filter: 8 MB, whatever the data; the fuller it is, the less it spares.
 FILTER_BITS = 1 << 26
 KINDS = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
@@ -59,11 +61,15 @@ def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist())], np.uint64)
 
 
-def slots(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    """Bit of the filter for a word, or for a pair of words."""
-    mixed = first if second is None else (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second >> np.uint64(7)) ^ (second << np.uint64(57))
-    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right >> np.uint64(7)) ^ (right << np.uint64(57))
+    return (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def lets(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    slot = hashes >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 class Half:
@@ -144,77 +150,79 @@ def phrase_batch(lang: str, words: pa.Array, found: Intervals) -> pa.RecordBatch
                             phrase.cast(pa.large_string()).cast(pa.string()), pa.array(found.size, pa.int64())], names=["lang", "n", "phrase", "f"])
 
 
-def counted(rows: DataFrame, longest: int, word_filter=None, pair_filter=None) -> DataFrame:
-    """(lang, n, phrase, f) summed over all shards: words without filters, pairs with a filter of words,
-    phrases of three to ``longest`` words with a filter of pairs as well."""
+def shards(batches):
+    """(language, distinct words, sequence) of slices of rows."""
+    for batch in slices(batches, "text", SLICE_BYTES):
+        langs = batch.column("lang")
+        for lang in pc.unique(langs).to_pylist():
+            words, sequence = word_sequence(batch.column("text").filter(pc.equal(langs, lang)))
+            if len(sequence):
+                yield lang, words, sequence
+
+
+def without_rare(sequence: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The sequence with rare words as ends of pieces."""
+    good = lets(bits, hashes)
+    good[0] = False
+    sequence = np.where(good[sequence], sequence, 0)
+    return sequence[(sequence > 0) | np.r_[True, sequence[:-1] > 0]]  # one mark where several meet
+
+
+def hash_sums(rows: DataFrame, word_filter=None) -> DataFrame:
+    """(hash, f) summed over all shards: of words, or of pairs of words that a filter lets through."""
 
     def run(batches):
-        allowed_words = allowed_pairs = None
-        if word_filter is not None:
-            allowed_words = np.frombuffer(word_filter.value, np.uint64)
-        if pair_filter is not None:
-            allowed_pairs = np.frombuffer(pair_filter.value, np.uint64)
-
-        def lets(bits, slot):
-            return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-        for batch in slices(batches, "text", SLICE_BYTES):
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                words, sequence = word_sequence(batch.column("text").filter(pc.equal(langs, lang)))
-                if not len(sequence):
-                    continue
-                if allowed_words is None:
-                    size = np.bincount(sequence, minlength=len(words) + 1)[1:]
-                    yield phrase_batch(lang, words, Intervals(np.arange(1, len(words) + 1)[:, None], (size, size), size))
-                    continue
-                hashes = word_hashes(lang, words)
-                good = lets(allowed_words, slots(hashes))
-                good[0] = False
-                sequence = np.where(good[sequence], sequence, 0)
-                sequence = sequence[(sequence > 0) | np.r_[True, sequence[:-1] > 0]]  # one mark where several meet
+        bits = None if word_filter is None else np.frombuffer(word_filter.value, np.uint64)
+        for lang, words, sequence in shards(batches):
+            hashes = word_hashes(lang, words)
+            if bits is None:
+                size, found = np.bincount(sequence, minlength=len(words) + 1)[1:], hashes[1:]
+            else:
+                sequence = without_rare(sequence, hashes, bits)
                 if not sequence.any():
                     continue
+                index = Index(sequence, 2)
+                pairs = index.extend(index.words(), 1, lambda left, right: np.ones(len(left), bool))
+                size, found = pairs.size, pair_hashes(hashes[pairs.words[:, 0]], hashes[pairs.words[:, 1]])
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(size, pa.int64())], names=["hash", "f"])
 
-                def pairs(left, right):
-                    return lets(allowed_pairs, slots(hashes[left], hashes[right]))
+    return rows.mapInArrow(run, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
 
-                if allowed_pairs is None:
-                    index = Index(sequence, 2)
-                    yield phrase_batch(lang, words, index.extend(index.words(), 1, lambda left, right: np.ones(len(left), bool)))
-                    continue
-                index = Index(sequence, longest)
-                phrases, side = index.extend(index.words(), 1, pairs), 1
-                for _ in range(3, longest + 1):
-                    phrases, side = index.extend(phrases, side, pairs), 1 - side
-                    if len(phrases.size):
-                        yield phrase_batch(lang, words, phrases)
 
-    return rows.mapInArrow(run, COUNTED).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+def bit_filter(hashes: DataFrame):
+    """A broadcast of FILTER_BITS bits: those that a table of hashes sets."""
+    shift = 64 - FILTER_BITS.bit_length() + 1
+    slot = F.shiftrightunsigned("hash", shift)
+    bits = hashes.select(F.shiftright(slot, 6).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+    table = bits.groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[table.column("place").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def bit_filter(frequent: DataFrame):
-    """A broadcast of FILTER_BITS bits: those of the words, or pairs of words, of a table."""
+def counted(rows: DataFrame, longest: int, word_filter, pair_filter) -> DataFrame:
+    """(lang, n, phrase, f) summed over all shards: of phrases of n words that filters let through; of all words (n 0)."""
 
     def run(batches):
-        for batch in batches:
-            slot = np.zeros(0, np.int64)
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                phrases = batch.column("phrase").filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()
-                columns = [word_hashes(lang, pa.array(c, pa.binary()))[1:] for c in zip(*(p.split(b" ") for p in phrases))]
-                slot = np.r_[slot, slots(*columns)]
-            place, inverse = np.unique(slot >> 6, return_inverse=True)
-            bits = np.zeros(len(place), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (slot & 63).astype(np.uint64))
-            yield pa.record_batch([pa.array(place), pa.array(bits.view(np.int64))], names=["place", "bits"])
-
-    spark = frequent.sparkSession
-    found = frequent.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    table = found.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[table.column("place").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(out.tobytes())
+        word_bits, pair_bits = np.frombuffer(word_filter.value, np.uint64), np.frombuffer(pair_filter.value, np.uint64)
+        for lang, words, sequence in shards(batches):
+            total = np.array([np.count_nonzero(sequence)])
+            yield pa.record_batch([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([""], pa.string()), pa.array(total)],
+                                  names=["lang", "n", "phrase", "f"])
+            hashes = word_hashes(lang, words)
+            sequence = without_rare(sequence, hashes, word_bits)
+            if not sequence.any():
+                continue
+            index, side = Index(sequence, longest), 1
+            phrases = index.words()
+            yield phrase_batch(lang, words, phrases)
+            for _ in range(2, longest + 1):
+                phrases = index.extend(phrases, side, lambda left, right: lets(pair_bits, pair_hashes(hashes[left], hashes[right])))
+                side = 1 - side
+                if len(phrases.size):
+                    yield phrase_batch(lang, words, phrases)
+
+    return rows.mapInArrow(run, COUNTED).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
 
 
 def parts_of(phrase: Column, start: Column | int, length: Column | int) -> Column:
@@ -223,21 +231,14 @@ def parts_of(phrase: Column, start: Column | int, length: Column | int) -> Colum
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to ``longest`` words that a language holds ``least`` times or more, and the
-    number of all words of each language: (lang, n, phrase, f), (lang, n_words), both written tables.
+    number of all words of each language: (lang, n, phrase, f), (lang, n_words), both from one written table.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    words = staged(counted(rows, longest), "phrase-words")
-    sums = staged(words.groupBy("lang").agg(F.sum("f").alias("n_words")), "phrase-sums")
-    frequent = [words.where(F.col("f") >= least)]
-    if longest > 1:
-        word_filter = bit_filter(frequent[0])
-        frequent.append(staged(counted(rows, longest, word_filter).where(F.col("f") >= least), "phrase-pairs"))
-    if longest > 2:
-        frequent.append(staged(counted(rows, longest, word_filter, bit_filter(frequent[1])).where(F.col("f") >= least), "phrase-longer"))
-    out = frequent[0]
-    for more in frequent[1:]:
-        out = out.unionByName(more)
-    return out, sums
+    frequent = F.col("f") >= least
+    word_filter = bit_filter(hash_sums(rows).where(frequent))
+    pair_filter = bit_filter(hash_sums(rows, word_filter).where(frequent))
+    found = staged(counted(rows, longest, word_filter, pair_filter).where(frequent | (F.col("n") == 0)), "phrases")
+    return found.where(F.col("n") > 0), found.where(F.col("n") == 0).select("lang", F.col("f").alias("n_words"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30,
