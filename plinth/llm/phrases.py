@@ -252,7 +252,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     language is ``und``; a null or empty text has no words; repeated rows count each; an empty table gives no
     rows; other columns are not looked at; ``most`` None keeps all.
     """
-    found, sums = frequent_phrases(docs, text_col, lang_col, longest, least)
+    return scored(*frequent_phrases(docs, text_col, lang_col, longest, least), inside_percent, most)
+
+
+def scored(found: DataFrame, sums: DataFrame, inside_percent: int, most: int | None) -> DataFrame:
+    """The collocations of counted phrases (lang, n, phrase, f); a phrase's parts are counted too."""
     candidates = found.where(F.col("n") > 1).withColumnRenamed("f", "a")
     cut = F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("cut")
     cuts = candidates.select("lang", "phrase", "n", "a", cut)

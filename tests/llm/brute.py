@@ -2,12 +2,14 @@
 
 import base64
 import collections
+import fractions
 import hashlib
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
@@ -120,3 +122,76 @@ def quality_base(text):
             seen.add(line)
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(covered),
             len(words) < 50 or 100 * len(covered) > 50 * len(words))
+
+
+def planted(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def periodic_runs(words, least_words=24, least_periods=3):
+    """(start, length, period), by trying every period."""
+    n, out = len(words), []
+    for q in range(1, n // least_periods + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i + q - s
+            part = words[s:s + length]
+            if length >= max(least_words, least_periods * q) and not any(part[r:] == part[:-r] for r in range(1, q)):
+                out.append((s, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_row(doc_id, text):
+    words = planted(doc_id, re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    runs = periodic_runs(words)
+    dropped = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-fractions.Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            sha("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()),
+            sha(" ".join(w for i, w in enumerate(words) if i not in dropped).encode()))
+
+
+def pieces(rows):
+    """Token count and digests by the library itself."""
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = []
+    for d, t in rows:
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        out.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode())))
+    return out
+
+
+def phrase_rows(rows, longest=4, least=30, inside=80, most=2000):
+    """[(text, lang)] -> (lang, rank, phrase, a, l, r, n, score), by counting every window."""
+    counts, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            counts[lang].update(tuple(words[i:i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        big = {g: a for g, a in f.items() if len(g) > 1 and a >= least}
+        covered = set()
+        for g, a in big.items():
+            covered |= {g[i:i + k] for k in range(2, len(g)) for i in range(len(g) - k + 1) if 100 * a >= inside * f[g[i:i + k]]}
+        scored = []
+        for g, a in big.items():
+            if g not in covered:
+                score, k = min((2000000 * a // (f[g[:k]] + f[g[k:]]), k) for k in range(1, len(g)))
+                scored.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(scored)[:most])]
+    return out

@@ -29,12 +29,15 @@ EXPECTED = {
     3: ("page_id payload_bytes payload_digest record_type refers_to", lambda: brute.warc(table("pages", "page_id, html"))),
     6: ("doc_id start n_tokens ids_crc32", lambda: brute.token_rows(table("documents", "doc_id, text"))),
     9: ("doc_id n_tokens ids_sha256 decoded_sha256", lambda: brute.bpe(table("documents", "doc_id, text"))),
+    11: ("doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256", lambda: [brute.run_row(d, t) for d, t in table("documents", "doc_id, text")]),
+    12: ("doc_id n_tokens ids_sha256 decoded_sha256", lambda: brute.pieces(table("documents", "doc_id, text"))),
+    13: ("lang rank phrase a l r n score", lambda: brute.phrase_rows(table("documents", "text, lang"))),
     10: ("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", lambda: [(d, *brute.quality_base(t)) for d, t in table("documents", "doc_id, text")]),
 }
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert sorted(NAMES) == list(range(1, 11)) and "pipeline" in entry.queries() and glob.glob(f"{SF}/*.parquet")
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(NAMES) == list(range(1, 14)) and "pipeline" in entry.queries() and glob.glob(f"{SF}/*.parquet")
 
 
 @pytest.mark.parametrize("number", sorted(EXPECTED))
