@@ -76,11 +76,11 @@ def repeating(codes: np.ndarray, owner: np.ndarray, ends: np.ndarray, least: int
     while step <= least:  # powers of two of the length, put together
         if least & step:
             shifted = np.zeros_like(out)
-            shifted[:len(out) - done] = hashes[done:]
+            shifted[:max(0, len(out) - done)] = hashes[done:]
             out = out * np.uint64(power) + shifted
             done += step
         longer = np.zeros_like(hashes)
-        longer[:len(hashes) - step] = hashes[step:]
+        longer[:max(0, len(hashes) - step)] = hashes[step:]
         hashes = hashes * np.uint64(power) + longer
         power, step = power * power & (1 << 64) - 1, step * 2
     places = np.flatnonzero(ends - np.arange(len(codes)) >= least)

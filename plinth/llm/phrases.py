@@ -7,10 +7,10 @@ transform, and all intervals of one length are extended at once.  Every shard gi
 phrases and extensions; Spark sums them.
 
 A phrase is as rare as its rarest part, so only what is frequent in all texts of a language is extended.
-Two passes sum hashes of words, then of pairs, over all shards: 64 bits instead of strings, most of which
-are rare.  Frequent hashes travel as a bit filter of fixed size.  A third pass counts what they let through,
-words, pairs and longer phrases, by the phrases themselves: what hashes let through in error is counted
-and dropped like any rare phrase.
+Three passes sum hashes of words, of pairs and of triples over all shards: 40 bits instead of strings, most
+of which are rare.  Frequent hashes travel as bit filters of fixed size.  A last pass counts what they let
+through by the phrases themselves: what hashes let through in error is counted and dropped like any rare
+phrase.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ NO_LANG = "und"
 SLICE_BYTES = 4 << 20
 # Bits of a filter: 8 MB, whatever the data; the fuller it is, the less it spares.
 FILTER_BITS = 1 << 26
+# Bits of a hash that is summed; two phrases with one hash count together there, and apart in the end.
+HASH_BITS = 40
 KINDS = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
 KINDS[[0x20, 0x09]] = 1
 KINDS[list(BREAKS)] = 2
@@ -61,9 +63,13 @@ def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist())], np.uint64)
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    mixed = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right >> np.uint64(7)) ^ (right << np.uint64(57))
-    return (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+def joined_hashes(*words: np.ndarray) -> np.ndarray:
+    """Hashes of words side by side."""
+    out = words[0]
+    for right in words[1:]:
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (right >> np.uint64(7)) ^ (right << np.uint64(57))
+        out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
 def lets(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -120,7 +126,10 @@ class Index:
         return Intervals(words[:, None], (forward.first[words], reverse.first[words]), size[words])
 
     def extend(self, phrases: Intervals, side: int, allowed) -> Intervals:
-        """All phrases with one word more, to the left (side 0) or right (1), of which ``allowed`` says yes."""
+        """All phrases with one word more, to the left (side 0) or right (1).
+
+        ``allowed`` sees the two or three words at that end, from left to right.
+        """
         half, rows = self.halves[side], phrases.rows[side]
         total = int(phrases.size.sum())
         owner = np.repeat(np.arange(len(rows)), phrases.size)
@@ -132,9 +141,10 @@ class Index:
         smaller = np.cumsum(size) - size  # rows of smaller symbols in the same interval
         first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
         smaller -= np.maximum.accumulate(np.where(first, smaller, 0))
-        old = phrases.words[owner]
         keep = symbols > 0
-        keep[keep] = allowed(*((symbols[keep], old[keep, 0]) if side == 0 else (old[keep, -1], symbols[keep])))
+        owner, symbols, size, smaller = owner[keep], symbols[keep], size[keep], smaller[keep]
+        old = phrases.words[owner]
+        keep = allowed((symbols, *old[:, :2].T) if side == 0 else (*old[:, -2:].T, symbols), side)
         owner, symbols, size, old = owner[keep], symbols[keep], size[keep], old[keep]
         here = half.before(symbols, rows[owner])
         there = phrases.rows[1 - side][owner] + smaller[keep]
@@ -168,31 +178,45 @@ def without_rare(sequence: np.ndarray, hashes: np.ndarray, bits: np.ndarray) ->
     return sequence[(sequence > 0) | np.r_[True, sequence[:-1] > 0]]  # one mark where several meet
 
 
-def hash_sums(rows: DataFrame, word_filter=None) -> DataFrame:
-    """(hash, f) summed over all shards: of words, or of pairs of words that a filter lets through."""
+def admission(hashes: np.ndarray, filters: list):
+    """For ``Index.extend``: whether the new pair or, with its filter at hand, the new triple may be frequent."""
+
+    def allowed(words, side: int) -> np.ndarray:
+        width = min(len(words), len(filters))
+        if width < 2:
+            return np.ones(len(words[0]), bool)
+        return lets(filters[width - 1], joined_hashes(*(hashes[w] for w in (words[:width] if side == 0 else words[-width:]))))
+
+    return allowed
+
+
+def hash_sums(rows: DataFrame, n: int, shared: list) -> DataFrame:
+    """(hash, f) summed over all shards: of phrases of ``n`` words (1 to 3) whose parts filters let through."""
 
     def run(batches):
-        bits = None if word_filter is None else np.frombuffer(word_filter.value, np.uint64)
+        filters = [np.frombuffer(f.value, np.uint64) for f in shared]
         for lang, words, sequence in shards(batches):
             hashes = word_hashes(lang, words)
-            if bits is None:
+            if n == 1:
                 size, found = np.bincount(sequence, minlength=len(words) + 1)[1:], hashes[1:]
             else:
-                sequence = without_rare(sequence, hashes, bits)
+                sequence = without_rare(sequence, hashes, filters[0])
                 if not sequence.any():
                     continue
-                index = Index(sequence, 2)
-                pairs = index.extend(index.words(), 1, lambda left, right: np.ones(len(left), bool))
-                size, found = pairs.size, pair_hashes(hashes[pairs.words[:, 0]], hashes[pairs.words[:, 1]])
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(size, pa.int64())], names=["hash", "f"])
+                index, side = Index(sequence, n), 1
+                phrases = index.words()
+                for _ in range(1, n):
+                    phrases, side = index.extend(phrases, side, admission(hashes, filters)), 1 - side
+                size, found = phrases.size, joined_hashes(*(hashes[w] for w in phrases.words.T))
+            found = (found >> np.uint64(64 - HASH_BITS)).view(np.int64)
+            yield pa.record_batch([pa.array(found), pa.array(size, pa.int64())], names=["hash", "f"])
 
     return rows.mapInArrow(run, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
 
 
 def bit_filter(hashes: DataFrame):
     """A broadcast of FILTER_BITS bits: those that a table of hashes sets."""
-    shift = 64 - FILTER_BITS.bit_length() + 1
-    slot = F.shiftrightunsigned("hash", shift)
+    slot = F.shiftright("hash", HASH_BITS - FILTER_BITS.bit_length() + 1)
     bits = hashes.select(F.shiftright(slot, 6).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
     table = bits.groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
     out = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -200,25 +224,24 @@ def bit_filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def counted(rows: DataFrame, longest: int, word_filter, pair_filter) -> DataFrame:
+def counted(rows: DataFrame, longest: int, shared: list) -> DataFrame:
     """(lang, n, phrase, f) summed over all shards: of phrases of n words that filters let through; of all words (n 0)."""
 
     def run(batches):
-        word_bits, pair_bits = np.frombuffer(word_filter.value, np.uint64), np.frombuffer(pair_filter.value, np.uint64)
+        filters = [np.frombuffer(f.value, np.uint64) for f in shared]
         for lang, words, sequence in shards(batches):
             total = np.array([np.count_nonzero(sequence)])
             yield pa.record_batch([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([""], pa.string()), pa.array(total)],
                                   names=["lang", "n", "phrase", "f"])
             hashes = word_hashes(lang, words)
-            sequence = without_rare(sequence, hashes, word_bits)
+            sequence = without_rare(sequence, hashes, filters[0])
             if not sequence.any():
                 continue
             index, side = Index(sequence, longest), 1
             phrases = index.words()
             yield phrase_batch(lang, words, phrases)
             for _ in range(2, longest + 1):
-                phrases = index.extend(phrases, side, lambda left, right: lets(pair_bits, pair_hashes(hashes[left], hashes[right])))
-                side = 1 - side
+                phrases, side = index.extend(phrases, side, admission(hashes, filters)), 1 - side
                 if len(phrases.size):
                     yield phrase_batch(lang, words, phrases)
 
@@ -235,9 +258,10 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
     frequent = F.col("f") >= least
-    word_filter = bit_filter(hash_sums(rows).where(frequent))
-    pair_filter = bit_filter(hash_sums(rows, word_filter).where(frequent))
-    found = staged(counted(rows, longest, word_filter, pair_filter).where(frequent | (F.col("n") == 0)), "phrases")
+    filters: list = []
+    for n in range(1, min(longest, 3) + 1):
+        filters.append(bit_filter(hash_sums(rows, n, filters.copy()).where(frequent)))
+    found = staged(counted(rows, longest, filters).where(frequent | (F.col("n") == 0)), "phrases")
     return found.where(F.col("n") > 0), found.where(F.col("n") == 0).select("lang", F.col("f").alias("n_words"))
 
 
