@@ -88,10 +88,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
     finite = F.forall("vec", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists("vec", lambda x: x != 0)
     vec = F.when(F.coalesce(finite, F.lit(False)), F.transform("vec", lambda x: x + F.lit(0).cast("float")))  # -0 is 0
     usable = rows.withColumn("vec", vec)
-    widths = {r["w"]: r["n"] for r in usable.groupBy(F.size("vec").alias("w")).count().withColumnRenamed("count", "n").where("w > 0").orderBy(F.desc("n"), "w").limit(1).collect()}
-    width = next(iter(widths), 0)
-    vec = F.when(F.size("vec") == width, F.col("vec"))
-    return usable.withColumn("vec", vec).withColumn("key", F.unhex(F.md5(F.array_join(F.col("vec").cast("array<string>"), ","))))
+    key = F.concat(F.unhex(F.md5(F.array_join(F.col("vec").cast("array<string>"), ","))), F.unhex(F.lpad(F.hex(F.size("vec")), 8, "0")))
+    return usable.withColumn("key", F.when(F.size("vec") > 0, key))
 
 
 def leaf_edges(classes: DataFrame, trees: int, leaf: int, spill: float, least: float, seed: int) -> DataFrame:
@@ -167,15 +165,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                  trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 11) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
-    Null vectors, zero vectors, vectors with a null or non-finite component and vectors of
-    another length than most link with nothing: 0 links, their own component.  Equal vectors
+    Null vectors, zero vectors and vectors with a null or non-finite component link with
+    nothing: 0 links, their own component.  Vectors of one length have a forest of their own
+    and link among themselves.  Equal vectors
     are linked whatever the trees do; rows that repeat an id are rows of their own; a null id
     belongs to its component and is not kept; an empty table gives no rows; other columns are
     not looked at.
     """
     rows = staged(classes_of(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))), "vectors")
     classes = staged(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("id").alias("smallest")), "classes")
-    found = staged(components(leaf_edges(classes, trees, leaf, spill, least, seed)).withColumnRenamed("node", "key"), "found")
+    size = F.size("vec")
+    lengths = [r["length"] for r in classes.groupBy(size.alias("length")).count().where("count > 1").orderBy("length").collect()]  # one row a length
+    edges = classes.sparkSession.createDataFrame([], EDGES)
+    for length in lengths:
+        edges = edges.unionByName(leaf_edges(classes.where(size == length), trees, leaf, spill, least, seed))
+    found = staged(components(edges).withColumnRenamed("node", "key"), "found")
     sizes = staged(found.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = found.join(sizes, "component").join(classes, "key").select("component", "size", "key", "vec", "copies")
     counts = link_counts(members, least)

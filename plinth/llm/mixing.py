@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """One row per input row: id, source, size, source_size, target, taken (words, repeats counted).
 
     A null text has size 0; a null source is a source of its own, the last one; rows that are
-    equal in id, source and size are taken together or not at all; a null id takes part like
+    equal in id, source and size are taken one by one like any others; a null id takes part like
     any other; an empty table gives no rows; other columns are not looked at.
     """
     rows = staged(sized(docs, id_col, text_col, source_col, seed), "sizes")
@@ -219,7 +219,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
              .withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # at most BUCKETS rows in a partition
              .select("name", "size", "bucket", "source_size", "target", "rounds",
                      F.greatest(F.lit(0), F.least(F.col("count"), F.col("more") - F.col("before"))).alias("take")))
-    place = F.rank().over(Window.partitionBy("name", "size", "bucket").orderBy("order", F.col("id").cast("string")))
+    place = F.row_number().over(Window.partitionBy("name", "size", "bucket").orderBy("order", F.col("id").cast("string")))
     out = rows.withColumn("place", place).join(dealt.hint("merge"), ["name", "size", "bucket"])
     taken = F.col("size") * (F.col("rounds") + (F.col("place") <= F.col("take")).cast("long"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"))
@@ -229,14 +229,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixture itself: rows of ``docs`` as often as the plan takes them, columns unchanged.
 
-    Documents without a word weigh nothing and stay once; rows that share id and source are
-    repeated as often as the one of them that is taken most.
+    Documents without a word weigh nothing and stay once; rows that share an id are taken each on its
+    own; rows equal in every column are interchangeable.
     """
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     id_name, body, source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
-    plan = mixed(plain, id_name, body, source, seed, weights, share, most)
+    plain = plain.withColumn("hash", F.xxhash64(*plain.columns))
+    plan = mixed(plain.withColumn("row", F.struct(F.col(id_name).alias("id"), "hash")), "row", body, source, seed, weights, share, most)
     times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))
-    repeats = plan.select(F.col(id_name).alias("i"), F.col(source).alias("s"), times.alias("times")).groupBy("i", "s").agg(F.max("times").alias("times")).where("times > 0")
-    joined = plain.join(repeats, plain[id_name].eqNullSafe(repeats["i"]) & plain[source].eqNullSafe(repeats["s"]))
-    return joined.select(*plain.columns, F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy").toDF(*names)
+    repeats = staged(plan.groupBy("row").agg(F.sum(times).alias("times"), F.count("*").alias("copies")).where("times > 0")
+                     .select("row.id", F.col("row.hash").alias("row_hash"), "times", "copies"), "repeats")
+
+    def taken(rows: DataFrame, part: DataFrame) -> DataFrame:
+        joined = rows.join(part, (rows["hash"] == part["row_hash"]) & rows[id_name].eqNullSafe(part["id"]))
+        return joined.select(*rows.columns, "times")
+
+    out, equal = taken(plain, repeats.where("copies = 1")), repeats.where("copies > 1")
+    if not equal.isEmpty():
+        out = out.unionByName(taken(plain, equal).dropDuplicates())
+    return out.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy", "hash").toDF(*names)

@@ -37,6 +37,8 @@ PERCENT = 85
 FREQUENT, FREQUENT_FROM = 50_000, 32
 # A shingle that a batch of texts holds less often than this is not reported as frequent.
 BATCH_FROM = 4
+# Word hashes a task remembers, and shingles it gathers before it counts the frequent ones.
+WORDS, GATHERED = 200_000, 2_000_000
 # Members of one inverted list, or sets of one cluster, that meet in one task.
 LIST_BLOCK, SET_BLOCK = 512, 256
 # Bits of the filter that spares most classes without a partner the way of their set.
@@ -49,7 +51,7 @@ class WordHashes(dict):
     """64-bit hash of each word of a task, computed once; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -121,24 +123,34 @@ def rows_and_frequent(docs: DataFrame, id_col: str, text_col: str, gram: int) ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        shingler = Shingler(gram)
+        shingler, held, kept, nulls = Shingler(gram), [], 0, None
+        names = ["kind", "id", "key", "n", "token"]
+
+        def frequent_of(held):
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= BATCH_FROM
+            tokens, counts = tokens[often].view(np.int64), counts[often]
+            n = len(tokens)
+            return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, nulls), pa.nulls(n, pa.binary()), pa.array(counts, pa.int64()),
+                                    pa.array(tokens)], names=names)
+
         for batch in slices(batches, "body"):
-            keys, sizes, held = [], [], []
+            keys, sizes, nulls = [], [], batch.column("id").type
             for text in utf8(batch.column("body")):
                 words = shingler.words(text)
                 tokens = shingler.shingles(words)
                 keys.append(class_key(words))
                 sizes.append(len(tokens))
                 held.append(tokens)
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= BATCH_FROM
-            tokens, counts = tokens[often].view(np.int64), counts[often]
-            rows, more = batch.num_rows, len(tokens)
-            nulls = pa.nulls(more, batch.column("id").type)
-            yield pa.record_batch([
-                pa.array([0] * rows + [1] * more, pa.int32()), pa.concat_arrays([batch.column("id"), nulls]),
-                pa.array(keys + [None] * more, pa.binary()), pa.array(sizes + counts.tolist(), pa.int64()),
-                pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(tokens)])], names=["kind", "id", "key", "n", "token"])
+                kept += len(tokens)
+            rows = batch.num_rows
+            yield pa.record_batch([pa.array(np.zeros(rows, np.int32)), batch.column("id"), pa.array(keys, pa.binary()),
+                                   pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
+            if kept >= GATHERED:
+                yield frequent_of(held)
+                held, kept = [], 0
+        if kept:
+            yield frequent_of(held)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     both = staged(rows.mapInArrow(run, f"kind int, id {kind}, key binary, n long, token long"), "classes", "kind")
@@ -370,7 +382,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose component holds a smaller id; columns unchanged."""
-    found = jaccard_components(docs, id_col, text_col, gram, percent)
-    gone = staged(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    """One row of each group that hangs together, columns unchanged.
+
+    That of the smallest id stays (null ids come last; of equal ids a hash of the whole row decides),
+    and of rows that are equal in every column one.  Rows without a word all stay.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    id_name, body = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    row = F.struct(F.col(id_name).isNull().alias("missing"), F.col(id_name).alias("id"), F.xxhash64(*plain.columns).alias("hash"))
+    plain = plain.withColumn("row", row)
+    found = jaccard_components(plain, "row", body, gram, percent)
+    same = F.col("row") == F.col("component_id")
+    verdict = found.where("n_shingles > 0").groupBy("row").agg(F.bool_and(same).alias("first"), F.count("*").alias("copies"))
+    verdict = staged(verdict.where("NOT first OR copies > 1").select("row.id", "row.hash", "first"), "one-of-each")
+    ids = plain.withColumn("hash", F.col("row.hash")).drop("row")
+
+    def of(side: DataFrame, how: str) -> DataFrame:
+        return ids.join(side, (ids["hash"] == side["hash"]) & ids[id_name].eqNullSafe(side["id"]), how)
+
+    out = of(verdict, "left_anti").drop("hash")
+    again = verdict.where("first")
+    if not again.isEmpty():
+        out = out.unionByName(of(again, "left_semi").drop("hash").dropDuplicates())
+    return out.toDF(*names)

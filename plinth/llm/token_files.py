@@ -12,7 +12,9 @@ the file part of the set, so a task that is run again does no harm.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -20,6 +22,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,13 @@ from plinth.llm.common import shared_folder, slices, staged, utf8
 MAGIC = b"PLTOKIDX"
 # Chunks a task remembers; beyond it the memory is emptied, which costs time and changes nothing.
 REMEMBERED = 400_000
-# New chunks in one call text, and call texts in one batch.
-TOGETHER, CALLS = 200, 10
+# The chain of the word vocabulary whose chunks are encoded on their own.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# Beyond ASCII and Latin letters (which are composed, and lower-case one by one) the library does it all.
+OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u017e]")
+# Of lower-case chunks: what the pattern may class in another way than the library, or white space.
+UNSAFE = re.compile("[^\x21-\x7e\u00df-\u00f6\u00f8-\u012f\u0131-\u017e]")
 # Bytes of text whose chunks are split and looked up at a time.
 ENCODED_BYTES = 2 << 20
 PART_SCHEMA = "part long, path string, documents long, tokens long"
@@ -42,42 +50,96 @@ def mounted(path: str) -> str:
     return url.path
 
 
-class ChunkEncoder:
-    """Ids of a text through the tokenizers library.
+def byte_letter(byte: int) -> str:
+    """The letter that byte-level vocabularies write for a byte: itself where it is printable."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return chr(byte) if byte in printable else chr(256 + sum(b not in printable for b in range(byte)))
 
-    Its normalisation and split never reach across ASCII white space in a vocabulary that
-    drops white space, so the chunks between are encoded once each and remembered.  New chunks
-    go to the library TOGETHER at a time, with a special token of the vocabulary between them.
-    """
+
+class WholeTexts:
+    """Ids of a text through the tokenizers library, whatever the vocabulary."""
 
     def __init__(self, tokenizer_json: str, dtype: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype, self.end = np.dtype(dtype), np.array([end_id], dtype=dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.mark, self.between = next(((k, f" {t.content} ") for k, t in sorted(special.items()) if t.special and not t.normalized), (None, ""))
+        self.dtype = np.dtype(dtype)
+        self.end = self.packed([end_id])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        ids = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in ids]
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text and the end id, as bytes of the file's integer type."""
+        return [ids + self.end for ids in self.raw([text.decode() for text in texts])]
+
+
+class ChunkEncoder(WholeTexts):
+    """The same ids for vocabularies that lower-case, drop white space and split words as WORD_SPLIT does.
+
+    What ASCII white space separates is encoded once and remembered.  Texts of ASCII and Latin letters
+    are lower-cased first; their chunks fall into the pieces of the vocabulary's own pattern, and only
+    a piece not met before goes to its merges.  Other chunks, and all of a text in which a special
+    token may hide, go through the library's whole chain.
+    """
+
+    def __init__(self, tokenizer_json: str, dtype: str, end_id: int):
+        super().__init__(tokenizer_json, dtype, end_id)
+        chain = json.loads(tokenizer_json)
+        self.split, self.model = regex.compile(WORD_SPLIT), self.tokenizer.model
+        self.shown = {b: byte_letter(b) for b in range(256)}
+        self.special = [t["content"].lower().encode() for t in chain["added_tokens"]]
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def serves(tokenizer_json: str) -> bool:
+        """Whether a tokenizer is of the one kind whose chunks may be encoded on their own."""
+        chain = json.loads(tokenizer_json)
+        split, letters = {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel"}
+        before = (chain.get("pre_tokenizer") or {}).get("pretokenizers") or [None, {}]
+        plain = ("single_word", "lstrip", "rstrip", "normalized")
+        return (chain.get("normalizer") == {"type": "Sequence", "normalizers": WORD_NORMAL} and chain["model"]["type"] == "BPE"
+                and not chain["model"].get("dropout") and len(before) == 2 and before[0] == split
+                and before[1].get("type") == letters["type"] and not before[1].get("add_prefix_space") and before[1].get("use_regex") is False
+                and not chain.get("truncation") and not chain.get("padding")
+                and not any(any(t[k] for k in plain) or t["content"] != "".join(t["content"].split()) for t in chain["added_tokens"]))
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        lower = text.lower()  # bytes: A-Z only
+        if any(token in lower for token in self.special):
+            return text.split()
+        if lower.isascii():
+            return lower.split()
+        body = text.decode()
+        return text.split() if OTHER.search(body) else body.lower().encode().split()
+
+    def piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = self.packed([t.id for t in self.model.tokenize(letters)])
+        return ids
 
     def learn(self, chunks: list[bytes]) -> None:
-        groups = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)] if self.between else [[c] for c in chunks]
-        for first in range(0, len(groups), CALLS):
-            some = groups[first:first + CALLS]
-            for group, raw in zip(some, self.raw([b"\n".join(g).decode().replace("\n", self.between) for g in some])):
-                cuts = [-1, *np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark).tolist(), len(raw) // self.dtype.itemsize]
-                if len(cuts) == len(group) + 1:
-                    parts = [raw[(a + 1) * self.dtype.itemsize:b * self.dtype.itemsize] for a, b in zip(cuts, cuts[1:])]
-                else:  # a chunk of the group holds the special token itself
-                    parts = self.raw([chunk.decode() for chunk in group])
-                self.known.update(zip(group, parts))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        pieces, other = self.pieces, []
+        for chunk in chunks:
+            body = chunk.decode()
+            if UNSAFE.search(body) or body != body.lower() or any(token in chunk for token in self.special):
+                other.append(chunk)
+                continue
+            parts = []
+            for piece in self.split.findall(body):
+                ids = pieces.get(piece)
+                parts.append(self.piece(piece) if ids is None else ids)
+            self.known[chunk] = b"".join(parts)
+        self.known.update(zip(other, self.raw([chunk.decode() for chunk in other])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes of the file's integer type."""
-        split = [text.split() for text in texts]
+        split = [self.chunks(text) for text in texts]
         wanted = set().union(*split)
         new = [chunk for chunk in wanted if chunk not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
@@ -87,10 +149,14 @@ class ChunkEncoder:
         return [b"".join(map(known, chunks)) + self.end for chunks in split]
 
 
+def text_encoder(tokenizer_json: str, dtype: str, end_id: int) -> WholeTexts:
+    return (ChunkEncoder if ChunkEncoder.serves(tokenizer_json) else WholeTexts)(tokenizer_json, dtype, end_id)
+
+
 def write_part(folder: str, part: int, batches, tokenizer_json: str, dtype: str, end_id: int):
     """Stream a range of documents into one part; returns its manifest row."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, width = ChunkEncoder(tokenizer_json, dtype, end_id), np.dtype(dtype).itemsize
+    encoder, width = text_encoder(tokenizer_json, dtype, end_id), np.dtype(dtype).itemsize
     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     lengths, ids, missing = [], [], []

@@ -26,14 +26,14 @@ def license_base(text):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
-def shingles(text):
+def shingles(text, gram=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(words[i:i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i:i + gram]) for i in range(max(1, len(words) - gram + 1))} if words else set()
 
 
-def components(rows):
+def components(rows, gram=4, percent=85):
     """[(id, text)] -> [(id, shingles, component)]"""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, gram) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -49,7 +49,7 @@ def components(rows):
     for i, s in enumerate(sets):
         common = collections.Counter(j for token in s for j in lists[token] if j < i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(i)] = find(j)
     smallest = {}
     for i, (key, _) in enumerate(rows):

@@ -68,7 +68,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in seen["quality_rules"]) == [d for d, _ in kept]
     cleaned = sorted((d, t) for d, _, _, t in brute.line_dedup(kept))
     assert sorted((r["doc_id"], r["text"]) for r in seen["line_dedup"]) == cleaned
-    single = [d for d, _, c in brute.components(cleaned) if d == c]
+    single = [d for d, _, c in brute.components(cleaned, 5, 80) if d == c]
     assert sorted(r["doc_id"] for r in seen["near_duplicates"]) == sorted(single)
     cleaned = dict(cleaned)
     total, taken = sum(len(cleaned[d].split()) for d in single), sum(len(r["text"].split()) for r in seen["source_mix"])
