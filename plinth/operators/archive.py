@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.numbers import finite, ratio
 from plinth.functions.places import UNKNOWN, canonical_district
-from plinth.operators.order_stats import keep_first, summarise
+from plinth.operators.order_stats import RankDirectory, join_on, keep_first, summarise
 
 # Source column -> name here, codes, bounds and market names.
 ARCHIVE_COLUMNS = {
@@ -84,12 +84,19 @@ def aggregate_archive(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def published_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """The three groupings of the same adverts; districts leave unknown places out."""
-    capital = rows.where(F.col("district") != UNKNOWN)
-    return {
-        name: aggregate_archive(capital if "district" in keys else rows, keys)
-        for name, keys in TABLE_KEYS.items()
-    }
+    """The three groupings of the same adverts; districts leave unknown places out.
+
+    One directory by month, region, district and market serves all three.
+    """
+    rows = rows.withColumn("quarter", F.trunc("month", "quarter"))
+    wanted = {"usd_sqm": {"median_usd_sqm": .5}, "price": {"median_usd": .5}}
+    directory = RankDirectory(rows, ["month", "quarter", "region_uz", "district", "market"], list(wanted))
+    groupings = [(keys, F.col("district") != UNKNOWN if "district" in keys else None) for keys in TABLE_KEYS.values()]
+    out = {}
+    for (name, keys), (_, where), medians in zip(TABLE_KEYS.items(), groupings, directory.ranks(groupings, wanted)):
+        counts = directory.groups(where).groupBy(*keys).agg(F.sum("__n").alias("listings"), F.count_distinct("month").alias("months"))
+        out[name] = join_on(counts, medians, keys, "left")
+    return out
 
 
 def combine_parts(parts: DataFrame, keys: list[str]) -> DataFrame:

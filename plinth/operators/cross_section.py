@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.numbers import finite, pct_change, ratio
-from plinth.operators.order_stats import quantiles, summarise, value_cell  # noqa: F401
+from plinth.operators.order_stats import RankDirectory, join_on, quantiles, summarise, value_cell  # noqa: F401
+from plinth.session import measured
 
 # Thresholds that are part of the results.
 MIN_GROUP_SAMPLE = 30
@@ -39,10 +40,11 @@ def overall(df: DataFrame, price="price_usd", per_sqm="sqm_usd", area="total_are
 def group_stats(df: DataFrame, group: str, price="price_usd", per_sqm="sqm_usd", area="total_area") -> DataFrame:
     """Per-group price statistics, shares, distance from the national median, sample label."""
     rows = df.where(F.col(group).isNotNull() & finite(price).isNotNull())
-    table = summarise(rows, [group], [F.count("*").alias("listings"), F.avg(price).alias("mean")],
-                      {price: {"median": .5, "p25": .25, "p75": .75},
-                       per_sqm: {"median_per_sqm": .5}, area: {"median_area_sqm": .5}})
-    national = quantiles(rows, [], {price: {"national": .5}}).scalar()
+    wanted = {price: {"median": .5, "p25": .25, "p75": .75}, per_sqm: {"median_per_sqm": .5}, area: {"median_area_sqm": .5}}
+    directory = RankDirectory(rows, [group], list(wanted), [F.count("*").alias("listings"), F.avg(price).alias("mean")])
+    ranked, country = directory.ranks([([group], None), ([], None)], wanted)  # both from the same two passes
+    table = join_on(directory.groups(), ranked, [group], "left")
+    national = country.select("median").scalar()
     everything = Window.partitionBy(F.lit(0))
     return table.select(
         group, "listings", "median", "mean", "p25", "p75", "median_per_sqm", "median_area_sqm",
@@ -167,17 +169,20 @@ def contribution(df: DataFrame, group: str, value: str, period: str) -> DataFram
 
 
 def concentration(df: DataFrame, group: str, value: str, period: str) -> DataFrame:
-    """Herfindahl index, top and top-three shares at the latest period."""
+    """Herfindahl index, top and top-three shares at the latest period.
+
+    No row where the latest total is not positive or fewer than two groups hold a value.
+    """
     totals = df.groupBy(group, period).agg(F.sum(value).alias("__v"))
     latest = totals.agg(F.max(period)).scalar()
-    shares = totals.where(F.col(period) == latest).select(
-        group, ratio("__v", F.sum("__v").over(Window.partitionBy(F.lit(0)))).alias("s"))
-    ranked = shares.withColumn("r", F.row_number().over(
-        Window.partitionBy(F.lit(0)).orderBy(F.desc("s"), group)))
-    return ranked.agg(
+    everything = Window.partitionBy(F.lit(0))
+    shares = totals.where((F.col(period) == latest) & F.col("__v").isNotNull()).select(
+        group, ratio("__v", F.sum("__v").over(everything)).alias("s"), F.sum("__v").over(everything).alias("total"))
+    ranked = shares.withColumn("r", F.row_number().over(everything.orderBy(F.desc("s"), group)))
+    return ranked.where("total > 0").agg(
         F.count("*").alias("groups"), (F.sum(F.col("s") * F.col("s")) * 10000).alias("hhi"),
         F.max_by(group, F.struct("s", F.negative("r"))).alias("top_group"), (F.max("s") * 100).alias("top_share_pct"),
-        (F.sum(F.when(F.col("r") <= 3, F.col("s"))) * 100).alias("top3_share_pct"))
+        (F.sum(F.when(F.col("r") <= 3, F.col("s"))) * 100).alias("top3_share_pct")).where("groups >= 2")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40, upper: float = 0.98) -> DataFrame:
@@ -186,9 +191,8 @@ def histogram(df: DataFrame, value: str, bins: int = 40, upper: float = 0.98) ->
     One row per bin; ``hidden`` repeats how many values lie beyond the last bin.
     """
     rows = df.select(finite(value).alias("v")).where("v IS NOT NULL")
-    edge = quantiles(rows, [], {"v": {"p": upper}}).scalar()
-    lows = rows.agg(F.min("v").alias("lo"), F.count("*").alias("n"))
-    low, n = lows.select("lo").scalar(), lows.select("n").scalar()
+    ends = measured(summarise(rows, [], [F.min("v").alias("lo"), F.count("v").alias("n")], {"v": {"p": upper}}))
+    low, edge, n = (ends.select(c).scalar() for c in ("lo", "p", "n"))
     width = (edge - low) / float(bins)
     slot = F.least(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(bins - 1)).cast("int")
     counted = rows.where(n >= MIN_HISTOGRAM).groupBy(

@@ -5,7 +5,8 @@ holding a third of the rows ends up in one task's memory.  The operators here wa
 monotone *cell* of the value instead: counts per (group, cell) are pre-aggregated
 map-side and bounded in number, the cells that hold the wanted ranks are found with a
 running sum over those counts, and only the rows inside the hit cells are looked at
-again.  Results are exact.
+again.  Results are exact, and the source is read twice however many columns,
+quantiles, aggregates and groupings are wanted.
 """
 
 from __future__ import annotations
@@ -39,6 +40,58 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
 
 
+class RankDirectory:
+    """Counts of every cell of some columns per finest group, from one pass over the rows.
+
+    Coarser groups are sums of its rows, so any number of groupings share the pass.  A second
+    pass over the rows, the same for all groupings and columns, looks only at the cells in
+    which a wanted rank lies.  ``aggs`` (named columns) are computed per finest group in the
+    first pass, over a row of its own beside those of the columns.
+    """
+
+    def __init__(self, df: DataFrame, finest: Sequence[str], columns: Sequence[str], aggs: Sequence[Column] = ()):
+        self.df, self.finest, self.columns = df, list(finest), list(columns)
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        self.kinds = {k: kinds[k] for k in self.finest}
+        values = F.array(F.lit(None).cast("double"), *[F.col(c).cast("double") for c in self.columns])
+        long = df.select("*", F.posexplode(values).alias("__m", "__v"))
+        long = long.where((F.col("__m") == 0) | (F.abs("__v") < float("inf")))  # neither null nor NaN nor infinite
+        cell = F.when(F.col("__m") > 0, F.expr(_cell_sql("__v", CELLS_PER_E)))
+        self.counts = measured(long.groupBy(*self.finest, "__m", cell.alias("__cell")).agg(F.count("*").alias("__n"), *aggs))
+        self.names = [c for c in self.counts.columns if c not in (*self.finest, "__m", "__cell", "__n")]
+
+    def groups(self, where: Column | None = None) -> DataFrame:
+        """The finest groups with their aggregates and ``__n`` rows each."""
+        out = self.counts.where("__m = 0").select(*self.finest, "__n", *self.names)
+        return out if where is None else out.where(where)
+
+    def ranks(self, groupings: Sequence[tuple[Sequence[str], Column | None]], wanted: Mapping[str, Mapping[str, float]]) -> list[DataFrame]:
+        """Exact quantiles (keys..., names...) of each grouping (keys among the finest, condition on them)."""
+        cells, ways = None, []
+        for number, (keys, where) in enumerate(groupings):
+            shown = [(F.col(k) if k in keys else F.lit(None).cast(self.kinds[k])).alias(k) for k in self.finest]
+            part = self.counts.where("__m > 0") if where is None else self.counts.where("__m > 0").where(where)
+            part = part.select(F.lit(number).alias("__g"), *shown, (F.col("__m") - 1).alias("m"), F.col("__cell").alias("cell"), "__n")
+            cells = part if cells is None else cells.unionByName(part)
+            way = F.struct(F.lit(number).alias("__g"), *shown)
+            ways.append(way if where is None else F.when(where, way))
+        keys = ["__g", *self.finest]
+        cells = cells.groupBy(*keys, "m", "cell").agg(F.sum("__n").alias("n"))
+        rows = self.df.select(*self.finest, *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(self.columns)])
+        if len(groupings) > 1 or groupings[0][1] is not None or len(groupings[0][0]) < len(self.finest):
+            ways = F.filter(F.array(*ways), lambda w: w.isNotNull())
+            rows = rows.select(F.inline(ways), *[f"__c{i}" for i in range(len(self.columns))])
+        else:
+            rows = rows.withColumn("__g", F.lit(0))
+        long = rows.select(*keys, F.posexplode(F.array(*[f"__c{i}" for i in range(len(self.columns))])).alias("m", "v"))
+        long = long.where(F.abs("v") < float("inf")).withColumn("cell", F.expr(_cell_sql("v", CELLS_PER_E)))
+        found = _values_at_ranks(cells, long, keys, self.columns, wanted)
+        if len(groupings) > 1:
+            found = measured(found)
+        names = [name for probs in wanted.values() for name in probs]
+        return [found.where(F.col("__g") == number).select(*keys, *names) for number, (keys, _) in enumerate(groupings)]
+
+
 def quantiles(df: DataFrame, keys: Sequence[str],
               wanted: Mapping[str, Mapping[str, float]], bounded: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles per group.
@@ -48,15 +101,18 @@ def quantiles(df: DataFrame, keys: Sequence[str],
     periods, say); only then is the built-in grouped ``percentile`` used.
     Groups without a single value are absent from the result.
     """
-    keys = list(keys)
     if bounded:
         aggs = [F.percentile(finite(col), p).alias(name)
                 for col, probs in wanted.items() for name, p in probs.items()]
         return df.groupBy(*keys).agg(*aggs)
+    return RankDirectory(df, keys, list(wanted)).ranks([(list(keys), None)], wanted)[0]
 
-    columns = list(wanted)
+
+def _values_at_ranks(cells: DataFrame, long: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                     wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Quantiles per key from cell counts (keys, m, cell, n) and values (keys, m, v, cell)."""
     names = [name for probs in wanted.values() for name in probs]
-    spark = df.sparkSession
+    spark = long.sparkSession
     ks = "".join(f"`{k}`, " for k in keys)
     part = f"PARTITION BY {ks}m"
 
@@ -64,16 +120,11 @@ def quantiles(df: DataFrame, keys: Sequence[str],
         return " AND ".join([f"{left}.`{k}` <=> {right}.`{k}`" for k in keys]
                             + [f"{left}.{c} = {right}.{c}" for c in ("m", *cells)])
 
-    long = spark.sql(f"""
-        SELECT {ks}m, v, {_cell_sql('v', CELLS_PER_E)} AS cell
-        FROM (SELECT {ks}stack({len(columns)}, {_stack_sql(columns)}) AS (m, v) FROM {{df}})
-        WHERE abs(v) < double('infinity')""", df=df)
-    asked = ", ".join("array(" + ", ".join(f"struct('{n}' AS name, double({p}) AS p)" for n, p in wanted[c].items()) + ")"
+    asked = ", ".join("array(" + ", ".join(f"struct('{n}' AS name, double({p}) AS p)" for n, p in wanted.get(c, {}).items()) + ")"
                       for c in columns)
     hits = measured(spark.sql(f"""
         WITH cells AS (
-          SELECT *, sum(n) OVER ({part} ORDER BY cell) AS upto, sum(n) OVER ({part}) AS total
-          FROM (SELECT {ks}m, cell, count(*) AS n FROM {{long}} GROUP BY {ks}m, cell)),
+          SELECT *, sum(n) OVER ({part} ORDER BY cell) AS upto, sum(n) OVER ({part}) AS total FROM {{counts}}),
         asked AS (
           SELECT *, t.p * (total - 1) AS pos FROM cells
           LATERAL VIEW explode(get(array({asked}), m)) AS t),
@@ -82,7 +133,7 @@ def quantiles(df: DataFrame, keys: Sequence[str],
           WHERE k >= upto - n AND k < upto)
         SELECT {ks}m, cell, collect_set(struct(
           t.name AS name, k - upto + n AS k, k > floor(pos) AS upper, pos - floor(pos) AS frac)) AS targets
-        FROM ranks GROUP BY {ks}m, cell""", long=long))
+        FROM ranks GROUP BY {ks}m, cell""", counts=cells))
     outs = ", ".join(
         f"""max(CASE WHEN t.name = '{n}' AND NOT t.upper THEN v END) AS `lo_{n}`,
         max(CASE WHEN t.name = '{n}' AND t.upper THEN v END) AS `hi_{n}`,
@@ -91,12 +142,12 @@ def quantiles(df: DataFrame, keys: Sequence[str],
         f"CASE WHEN `f_{n}` > 0 THEN `lo_{n}` + (`hi_{n}` - `lo_{n}`) * `f_{n}` ELSE `lo_{n}` END AS `{n}`" for n in names)
     lcols = "".join(f"l.`{k}`, " for k in keys) + "l.m, l.cell, l.v"
     vcols = "".join(f"x.`{k}`, " for k in keys) + "x.v, x.n, x.targets"
-    group = f"GROUP BY {ks[:-2]}" if keys else ""
-    return spark.sql(f"""
-        WITH counted AS (
+    counted = measured(spark.sql(f"""
           SELECT {lcols}, count(*) AS n, any_value(h.targets) AS targets,
                  any_value({_cell_sql('l.v', FINE_PER_E)}) AS fine
-          FROM {{long}} l JOIN {{hits}} h ON {same('l', 'h', 'cell')} GROUP BY {lcols}),
+          FROM {{long}} l JOIN {{hits}} h ON {same('l', 'h', 'cell')} GROUP BY {lcols}""", long=long, hits=hits))
+    return spark.sql(f"""
+        WITH counted AS (SELECT * FROM {{counted}}),
         fines AS (
           SELECT *, sum(fn) OVER ({part}, cell ORDER BY fine) - fn AS before
           FROM (SELECT {ks}m, cell, fine, sum(n) AS fn, any_value(targets) AS ft FROM counted GROUP BY {ks}m, cell, fine)),
@@ -108,11 +159,7 @@ def quantiles(df: DataFrame, keys: Sequence[str],
         found AS (
           SELECT {ks}v, t FROM placed
           LATERAL VIEW explode(filter(targets, t -> t.k < upto AND t.k >= upto - n)) AS t)
-        SELECT {ks}{final} FROM (SELECT {ks}{outs} FROM found {group})""", long=long, hits=hits)
-
-
-def _stack_sql(columns: Sequence[str]) -> str:
-    return ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
+        SELECT {ks}{final} FROM (SELECT {ks}{outs} FROM found GROUP BY {ks[:-2]})""", counted=counted)
 
 
 def _cell_sql(x: str, cells_per_e: int) -> str:
@@ -129,12 +176,15 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
         extra = [F.percentile(finite(col), p).alias(name)
                  for col, probs in wanted.items() for name, p in probs.items()]
         return df.groupBy(*keys).agg(*aggs, *extra)
-    base = df.groupBy(*keys).agg(*aggs)
-    ranked = quantiles(df, keys, wanted)
-    if not keys:
-        one = F.lit(1)
-        return base.withColumn("__one", one).join(ranked.withColumn("__one", one), "__one", "left").drop("__one")
-    return join_on(base, ranked, keys, "left")
+    directory = RankDirectory(df, keys, list(wanted), aggs)
+    ranked = directory.ranks([(keys, None)], wanted)[0]
+    base = directory.groups().drop("__n")
+    if keys:
+        return join_on(base, ranked, keys, "left")
+    one = F.lit(1)
+    if base.isEmpty():  # the one group of a table without rows
+        base = df.agg(*aggs)
+    return base.withColumn("__one", one).join(ranked.withColumn("__one", one), "__one", "left").drop("__one")
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "avg_rank") -> DataFrame:

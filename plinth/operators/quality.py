@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.places import is_known_region
-from plinth.operators.order_stats import join_on, quantiles
+from plinth.operators.order_stats import join_on, quantiles, summarise
 from plinth.session import measured
 
 # Bands and limits that are part of the results.
@@ -68,8 +68,8 @@ def log_mad_bounds(df: DataFrame, value: str = "sqm_usd", keys: Sequence[str] =
     """(keys, centre, spread, n): median and median absolute deviation of the logarithm."""
     keys = list(keys)
     logged = df.where(F.col(value).isNotNull()).select(*keys, F.ln(F.greatest(F.col(value), F.lit(1e-6))).alias("lx"))
-    n = logged.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_MAD_GROUP)
-    centre = measured(join_on(quantiles(logged, keys, {"lx": {"centre": .5}}), n, keys, "inner"))
+    centre = summarise(logged, keys, [F.count("*").alias("n")], {"lx": {"centre": .5}})
+    centre = measured(centre.where((F.col("n") >= MIN_MAD_GROUP) & F.col("centre").isNotNull()).select(*keys, "centre", "n"))
     off = join_on(logged, centre, keys, "inner").select(*keys, F.abs(F.col("lx") - F.col("centre")).alias("off"))
     return measured(join_on(centre, quantiles(off, keys, {"off": {"spread": .5}}), keys, "inner").where("spread > 0"))
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plinth", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,31 +39,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint between the rounds of an iterative operator."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared checkpoint folder and read it back: its lineage ends there.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer files than there are cores over all of them.
-
-    A large table has files enough and is left as it is; a single small file would keep
-    every step up to the first shuffle in one task.
+    It survives lost executors, its rows are computed once (a Dataset checkpoint computes them
+    twice), and Spark knows its size in bytes: a side that fits is then broadcast, a larger one
+    is joined by shuffle with AQE's skew handling.  The folder goes when the driver's JVM ends.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-# A side of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+# Bytes of an input up to which it may be dealt over the cores.
+SMALL_INPUT = 64 << 20
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """Write a derived side to the checkpoint folder and count it.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal an input of at most SMALL_INPUT bytes over all cores.
 
-    Up to BROADCAST_ROWS rows it carries a broadcast hint, beyond that none: the join is
-    then planned as a shuffle join with AQE's skew handling.  The lineage ends here, so
-    the side survives the loss of executors and is not planned again by its users.
+    One small file would keep every step up to the first shuffle in one task.  A larger
+    input has splits enough and is never shuffled for this.
     """
-    small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
+# A derived side that several plans use: the same table, whose size in bytes is then known.
+measured = cut_lineage

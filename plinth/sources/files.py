@@ -15,7 +15,7 @@ from plinth.operators.clean import cleaned
 
 # Separators tried, suffixes read, hidden path parts.
 SEPARATORS = [",", ";", "\t", "|"]
-SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "parquet", "db", "sqlite", "sqlite3"]
+SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "parquet"]
 HIDDEN = r"/(\.|~\$)[^/]*"
 
 
