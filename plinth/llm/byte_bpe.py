@@ -22,7 +22,7 @@ from plinth.llm.common import slices
 
 NONE = np.int32(np.iinfo(np.int32).max)
 # Pieces a task remembers; beyond it the memory is emptied, which costs time and changes nothing.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 # Texts split at once: the matches of a slice take some twelve times its bytes.
 SLICE_BYTES = 2 << 20
 # Rows longer than this merge by a queue of pairs, since a round of the matrix costs a whole row.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -23,8 +25,23 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give memory that a worker no longer uses back to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, text: str, most: int = SLICE_BYTES):
     """Arrow batches cut so that the texts of one slice stay near ``most`` bytes."""
+    release_memory()  # what the task before left
+    yield from _slices(batches, text, most)
+    release_memory()
+
+
+def _slices(batches, text: str, most: int):
     for batch in batches:
         lengths = batch.column(text).cast(pa.large_binary())
         start = size = 0

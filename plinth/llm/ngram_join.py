@@ -38,7 +38,7 @@ FREQUENT, FREQUENT_FROM = 50_000, 32
 # A shingle that a batch of texts holds less often than this is not reported as frequent.
 BATCH_FROM = 4
 # Word hashes a task remembers, and shingles it gathers before it counts the frequent ones.
-WORDS, GATHERED = 200_000, 2_000_000
+WORDS, GATHERED = 200_000, 1_000_000
 # Members of one inverted list, or sets of one cluster, that meet in one task.
 LIST_BLOCK, SET_BLOCK = 512, 256
 # Bits of the filter that spares most classes without a partner the way of their set.

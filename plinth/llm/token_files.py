@@ -22,7 +22,6 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +35,9 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 # Beyond ASCII and Latin letters (which are composed, and lower-case one by one) the library does it all.
 OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u017e]")
-# Of lower-case chunks: what the pattern may class in another way than the library, or white space.
-UNSAFE = re.compile("[^\x21-\x7e\u00df-\u00f6\u00f8-\u012f\u0131-\u017e]")
+# Chunks of these characters alone fall into pieces by the same pattern without classes of all of Unicode.
+SAFE = re.compile("[\x21-\x7e\u00df-\u00f6\u00f8-\u012f\u0131-\u017e]+$")
+SAFE_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017e]+|[0-9]|[^a-z0-9\u00df-\u017e]+"
 # Bytes of text whose chunks are split and looked up at a time.
 ENCODED_BYTES = 2 << 20
 PART_SCHEMA = "part long, path string, documents long, tokens long"
@@ -81,7 +81,7 @@ class ChunkEncoder(WholeTexts):
     """The same ids for vocabularies that lower-case, drop white space and split words as WORD_SPLIT does.
 
     What ASCII white space separates is encoded once and remembered.  Texts of ASCII and Latin letters
-    are lower-cased first; their chunks fall into the pieces of the vocabulary's own pattern, and only
+    are lower-cased first; their chunks fall into the pieces of the vocabulary's pattern, and only
     a piece not met before goes to its merges.  Other chunks, and all of a text in which a special
     token may hide, go through the library's whole chain.
     """
@@ -89,7 +89,7 @@ class ChunkEncoder(WholeTexts):
     def __init__(self, tokenizer_json: str, dtype: str, end_id: int):
         super().__init__(tokenizer_json, dtype, end_id)
         chain = json.loads(tokenizer_json)
-        self.split, self.model = regex.compile(WORD_SPLIT), self.tokenizer.model
+        self.split, self.model = re.compile(SAFE_SPLIT), self.tokenizer.model
         self.shown = {b: byte_letter(b) for b in range(256)}
         self.special = [t["content"].lower().encode() for t in chain["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
@@ -125,14 +125,18 @@ class ChunkEncoder(WholeTexts):
     def learn(self, chunks: list[bytes]) -> None:
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
-        pieces, other = self.pieces, []
+        pieces, other, safe, split = self.pieces, [], SAFE.match, self.split.findall
         for chunk in chunks:
             body = chunk.decode()
-            if UNSAFE.search(body) or body != body.lower() or any(token in chunk for token in self.special):
+            if body.isalpha() and (body.isascii() or safe(body)) and body.islower():  # one piece
+                ids = pieces.get(body)
+                self.known[chunk] = self.piece(body) if ids is None else ids
+                continue
+            if not safe(body) or body != body.lower() or any(token in chunk for token in self.special):
                 other.append(chunk)
                 continue
             parts = []
-            for piece in self.split.findall(body):
+            for piece in split(body):
                 ids = pieces.get(piece)
                 parts.append(self.piece(piece) if ids is None else ids)
             self.known[chunk] = b"".join(parts)
