@@ -10,6 +10,7 @@ leave the matrix.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -189,9 +190,12 @@ def list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           digest: bool = False) -> DataFrame:
     """(id, ids): the token ids of every row's whole text, in one pass without a shuffle.
 
+    With ``digest`` the ids are decoded in the same pass: (id, ids, decoded_sha256).
+
     A null or empty text has no ids; repeated rows are encoded each on its own; an id may be
     null; an empty table gives no rows; other columns are not looked at.
     """
@@ -202,10 +206,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
         encoder = Encoder(Vocabulary.of(shared.value), pattern)
         for batch in slices(batches, "body", SLICE_BYTES):
             texts = [text or "" for text in batch.column("body").to_pylist()]
-            yield pa.record_batch([batch.column("id"), list_array(encoder.encode(texts))], names=["id", "ids"])
+            parts = encoder.encode(texts)
+            columns = {"id": batch.column("id"), "ids": list_array(parts)}
+            if digest:
+                token = encoder.vocabulary.tokens.__getitem__
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(b"".join(map(token, ids.tolist()))).hexdigest() for ids in parts], pa.string())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>" + (", decoded_sha256 string" if digest else "")
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decoder(spark: SparkSession, vocabulary: Vocabulary):
