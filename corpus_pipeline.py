@@ -44,10 +44,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document of the mixture: its ids, and whether decoding gives the text back."""
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.encode(docs.withColumn("both", F.struct("doc_id", "source")), vocabulary, public_tokenizers.PATTERN, id_col="both")
-    decode = byte_bpe.decoder(spark, vocabulary)
-    return encoded.select("both.doc_id", "both.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(docs.withColumn("both", F.struct("doc_id", "source")), vocabulary, public_tokenizers.PATTERN, id_col="both", digest=True)
+    return encoded.select("both.doc_id", "both.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
