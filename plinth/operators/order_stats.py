@@ -6,7 +6,8 @@ monotone *cell* of the value instead: counts per (group, cell) are pre-aggregate
 map-side and bounded in number, the cells that hold the wanted ranks are found with a
 running sum over those counts, and only the rows inside the hit cells are looked at
 again.  Results are exact, and the source is read twice however many columns,
-quantiles, aggregates and groupings are wanted.
+quantiles, aggregates and groupings are wanted.  Ranks and row numbers come from rows
+cut into ordered ranges, as many as the rows need.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from plinth.session import measured
 CELLS_PER_E = 256           # coarse cells, about 0.4 % of the value wide
 FINE_PER_E = 1 << 20        # 4096 fine cells inside one coarse cell
 CELL_ORIGIN = 1 << 30       # > 745 * FINE_PER_E: keeps magnitudes positive
+PART_ROWS = 1 << 20         # rows of one range when rows are ranked or numbered
 
 
 def value_cell(x: Column, cells_per_e: int = CELLS_PER_E) -> Column:
@@ -187,24 +189,41 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
     return base.withColumn("__one", one).join(ranked.withColumn("__one", one), "__one", "left").drop("__one")
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], part_rows: int | None = None) -> DataFrame:
+    """The rows written in ``order`` (NULL first), cut into ranges ``__part`` of about ``part_rows`` rows.
+
+    Ranges are cut by ``order``, then by a hash of the row, then by a seeded number, so neither
+    close values nor one value nor equal rows can fill a range: the number of ranges grows with the
+    rows, their size does not.  Each range is one file, whose rows lie in order.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = df.withColumns({"__hash": F.xxhash64(*hashed), "__salt": F.rand(17)})
+    ranges = max(1, -(-df.count() // (part_rows or PART_ROWS)))
+    by = [F.col(c).asc_nulls_first() for c in [*order, "__hash", "__salt"]]
+    cut = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("__hash", "__salt")
+    return measured(cut.withColumn("__part", F.spark_partition_id()))
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Distinct (keys, value, n) with the tie-averaged rank: a running sum over ranges, then one inside each."""
+    running = (Window.unboundedPreceding, Window.currentRow)
+    rows = in_ranges(counts, [*keys, value])
+    parts = rows.groupBy(*keys, "__part").agg(F.sum("n").alias("__pn"))
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(*running)
+    before = parts.select(*keys, "__part", (F.sum("__pn").over(upto) - F.col("__pn")).alias("__before"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(*running)
+    summed = rows.withColumn("__in", F.sum("n").over(inside) - F.col("n"))
+    return join_on(summed, before, [*keys, "__part"], "inner").select(
+        *keys, value, "n", (F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2.0).alias(out))
+
+
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "avg_rank") -> DataFrame:
     """One row per distinct (keys, value) with its tie-averaged rank and its count ``n``.
 
-    The running count is split: a bounded one over cells, then one inside each cell.
+    Copies of a value collapse to a count; distinct values are ranked in ranges of bounded size.
     """
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-              .withColumn("__cell", value_cell(F.col(value).cast("double"))))
-    upto = Window.partitionBy(*keys).orderBy("__cell") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = (counts.groupBy(*keys, "__cell").agg(F.sum("n").alias("__cn"))
-               .select(*keys, "__cell", (F.sum("__cn").over(upto) - F.col("__cn")).alias("__before")))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(value) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("__in", F.sum("n").over(inside) - F.col("n"))
-    return join_on(ranked, offsets, [*keys, "__cell"], "inner").select(
-        *keys, value, "n",
-        (F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2.0).alias(out))
+    return _ranked(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, out)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -213,22 +232,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal (x, y) pairs collapse to a count first, so copies never travel; the counts
     re-enter as weights of the closed-form correlation.
     """
-    pairs = (df.select(finite(x).alias("__x"), finite(y).alias("__y"))
-             .where("__x IS NOT NULL AND __y IS NOT NULL")
-             .groupBy("__x", "__y").agg(F.count("*").alias("w")))
-    weighted = lambda col: (pairs.groupBy(col).agg(F.sum("w").alias("n")))
+    pairs = measured(df.select(finite(x).alias("__x"), finite(y).alias("__y"))
+                     .where("__x IS NOT NULL AND __y IS NOT NULL")
+                     .groupBy("__x", "__y").agg(F.count("*").alias("w")))
 
     def ranks(col: str, out: str) -> DataFrame:
-        counts = weighted(col).withColumn("__cell", value_cell(F.col(col)))
-        upto = Window.partitionBy(F.lit(0)).orderBy("__cell") \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offsets = (counts.groupBy("__cell").agg(F.sum("n").alias("__cn"))
-                   .select("__cell", (F.sum("__cn").over(upto) - F.col("__cn")).alias("__before")))
-        inside = Window.partitionBy("__cell").orderBy(col) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (counts.withColumn("__in", F.sum("n").over(inside) - F.col("n"))
-                .join(offsets, "__cell")
-                .select(col, (F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2.0).alias(out)))
+        return _ranked(pairs.groupBy(col).agg(F.sum("w").alias("n")), [], col, out).select(col, out)
 
     ranked = pairs.join(ranks("__x", "rx"), "__x").join(ranks("__y", "ry"), "__y")
     return weighted_corr(ranked, "rx", "ry", "w")
@@ -258,30 +267,22 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
         .select(*[F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def numbered(df: DataFrame, order: str, tie: Sequence[str] = (), out: str = "row_no") -> DataFrame:
-    """A global 1-based row number by ``order`` (numeric) then ``tie``, computed in parallel.
+def numbered(df: DataFrame, order: str, tie: Sequence[str] = (), out: str = "row_no", keys: Sequence[str] = ()) -> DataFrame:
+    """A 1-based row number by ``order`` then ``tie``, over all rows or within ``keys``, computed in parallel.
 
-    Two bounded running sums (over cells of ``order``, then over its exact values inside
-    a cell) give each value its offset; rows are numbered inside one value split again
-    by the cell of the first tie column, so a value held by many rows is split as well.
-    Rows without an ``order`` value come first.
+    The rows are written in ranges of bounded size (:func:`in_ranges`); a row's number is the
+    rows of the ranges before its own and its place in its file, so no window holds rows.
+    Orders and ties may be of any sortable type and are compared as they are.  Rows without a
+    value come first; rows equal in ``order`` and ``tie`` follow a hash of the row, so reruns
+    agree up to rows that are equal in every column.
     """
-    tie = list(tie)
-    first_tie = value_cell(finite(tie[0]), 64) if tie else F.lit(0).cast("bigint")
-    cell = F.coalesce(value_cell(F.col(order).cast("double")), F.lit(-2**62))
-    rows = df.withColumn("__cell", cell) \
-             .withColumn("__sub", F.coalesce(first_tie, F.lit(-2**62)))
-    sub = rows.groupBy("__cell", order, "__sub").agg(F.count("*").alias("__n"))
-    upto = lambda *part: Window.partitionBy(*part)
-    running = (Window.unboundedPreceding, Window.currentRow)
-    cells = sub.groupBy("__cell").agg(F.sum("__n").alias("__cn"))
-    cells = cells.select("__cell", (F.sum("__cn").over(
-        upto(F.lit(0)).orderBy("__cell").rowsBetween(*running)) - F.col("__cn")).alias("__b1"))
-    sub = sub.withColumn("__b2", F.sum("__n").over(
-        upto("__cell").orderBy(order, "__sub").rowsBetween(*running)) - F.col("__n"))
-    offsets = sub.join(cells, "__cell").select(F.col(order).alias("__o"), F.col("__sub").alias("__s"), (F.col("__b1") + F.col("__b2")).alias("__before"))
-    inner = Window.partitionBy(order, "__sub").orderBy(*[F.col(c).asc_nulls_first() for c in (tie or [order])])
-    return (rows.withColumn("__in", F.row_number().over(inner))
-            .join(offsets, F.col(order).eqNullSafe(F.col("__o")) & (F.col("__sub") == F.col("__s")))
-            .withColumn(out, F.col("__before") + F.col("__in"))
-            .drop("__cell", "__sub", "__o", "__s", "__in", "__before"))
+    keys = list(keys)
+    rows = in_ranges(df, [*keys, order, *tie]).select(*[F.col(f"`{c}`") for c in df.columns], "__part", F.col("_metadata.row_index").alias("__at"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("__part").agg(F.count("*").alias("__pn"))  # one row per range
+    parts = measured(parts.select("__part", F.coalesce(F.sum("__pn").over(before), F.lit(0)).alias("__before")))
+    placed = rows.join(parts, "__part").withColumn(out, F.col("__before") + F.col("__at") + 1)
+    if keys:
+        first = measured(placed.groupBy(*keys).agg((F.min(out) - 1).alias("__first")))
+        placed = join_on(placed, first, keys, "inner").withColumn(out, F.col(out) - F.col("__first"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], out)

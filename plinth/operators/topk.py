@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.places import region_position
-from plinth.operators.order_stats import numbered
+from plinth.operators.order_stats import join_on, numbered
+from plinth.session import measured
 
 
 def top_n(df: DataFrame, n: int, *order) -> DataFrame:
@@ -88,6 +89,21 @@ def budget_quotas(counts: DataFrame, budget: int) -> DataFrame:
         F.least(share, F.col("rows")), F.floor(equal))).cast("bigint"))
 
 
+def thin_by_quota(df: DataFrame, file: str, order: str, quotas: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """``quotas`` (file, rows, quota) applied: exactly ``quota`` evenly spaced rows of each file stay.
+
+    Row i of n stays where i * quota / n passes a whole number, so a file's last row always does.
+    A file whose quota covers its rows keeps all of them; its rows are counted here where unknown.
+    A sampling operator, off unless asked for.
+    """
+    rows = numbered(df, order, tie, out="__i", keys=[file])
+    sizes = df.groupBy(file).agg(F.count("*").alias("__n"))
+    sizes = measured(join_on(sizes, quotas.select(F.col("file").alias(file), F.col("quota").alias("__q")), [file], "left"))
+    share = lambda i: F.floor(i * F.col("__q") / F.col("__n"))
+    keep = F.col("__q").isNull() | (F.col("__q") >= F.col("__n")) | (share(F.col("__i")) > share(F.col("__i") - 1))
+    return join_on(rows, sizes, [file], "inner").where(keep).drop("__i", "__n", "__q")
+
+
 def sampling_note(available: DataFrame, kept: DataFrame) -> DataFrame:
     """One row when less than 95 % of the available rows are read, none otherwise."""
     k = kept.agg(F.count("*")).scalar()

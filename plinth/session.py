@@ -51,7 +51,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", 0).parquet(path)  # one file a task
     return spark.read.schema(df.schema).parquet(path)
 
 

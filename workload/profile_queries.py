@@ -295,11 +295,28 @@ def systematic(spark, sf):
     return K.thin_systematic(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000)
 
 
-@query("src_17_budget_by_file")
-def budget(spark, sf):
+QUOTAS = """counts AS (SELECT event_type AS file, CASE WHEN event_type <> 'view' THEN count(*) END AS rows FROM events GROUP BY 1),
+facts AS (SELECT sum(rows)::DOUBLE AS known, count(*) AS files, count(rows) AS counted, 4000.0::DOUBLE / count(*) AS equal FROM counts),
+quotas AS (SELECT file, rows, greatest(1, coalesce(least(floor((4000.0::DOUBLE - equal * (files - counted)) * rows / known), rows), floor(equal)))::BIGINT AS quota
+           FROM counts, facts)"""
+
+
+def event_quotas(spark, sf):
     counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("file")).agg(F.count("*").alias("rows"))
-    counts = counts.withColumn("rows", F.when(F.col("file") != "view", F.col("rows")))
-    return K.budget_quotas(counts, 4000)
+    return K.budget_quotas(counts.withColumn("rows", F.when(F.col("file") != "view", F.col("rows"))), 4000)
+
+
+@query("src_17_budget_by_file", sql=f"WITH {QUOTAS} SELECT file, rows, quota FROM quotas")
+def budget(spark, sf):
+    return event_quotas(spark, sf)
+
+
+@query("src_17_budget_applied", sql=f"""WITH {QUOTAS},
+placed AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, event_type FROM placed JOIN quotas ON file = event_type
+WHERE quota >= n OR (i * quota) // n > ((i - 1) * quota) // n""")
+def budget_applied(spark, sf):
+    return K.thin_by_quota(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id", event_quotas(spark, sf))
 
 
 @query("src_19_sampling_note", doubles="share_pct", sql="""
