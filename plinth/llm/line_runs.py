@@ -74,17 +74,18 @@ def batches_of(lines: DataFrame, batches: int) -> Column:
 
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str, least: int, batches: int, fan_in: int) -> DataFrame:
-    """(id, lost): the keys whose lines an id loses because a smaller id holds them."""
+    """(id, row, lost): the places of the lines that a text (``row``: its hash) loses because a smaller id holds them."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id IS NOT NULL")
-    keys = F.array_distinct(F.array_compact(F.transform(split_lines(F.col("body")), lambda line: line_key(line, least))))
+    keys = F.transform(split_lines(F.col("body")), lambda line: line_key(line, least))
     batch = batches_of(rows.select("id"), batches)
-    lines = staged(rows.select("id", batch.alias("batch"), F.explode(keys).alias("key")), "lines", "batch")
+    lines = rows.select("id", F.xxhash64("body").alias("row"), batch.alias("batch"), F.posexplode(keys).alias("at", "key")).where("key IS NOT NULL")
+    lines = staged(lines, "lines", "batch")
     runs = LineRuns(fan_in)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("key", "id"))
     # Both sides come straight from storage: AQE splits the partition of a line that a third of all documents hold.
-    return (lines.select("id", "key").join(runs.all(), "key").where("owner < id")
-            .groupBy("id").agg(F.collect_set("key").alias("lost")))
+    return (lines.select("id", "row", "at", "key").join(runs.all(), "key").where("owner < id")
+            .groupBy("id", "row").agg(F.collect_set("at").alias("lost")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CODE_POINTS,
@@ -100,11 +101,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     id_name, body = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     lost = lost_lines(plain, id_name, body, least, batches, fan_in)
-    lines = split_lines(F.col(body))
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("lost"), line_key(line, least)), F.lit(False))))
-    joined = plain.join(lost, plain[id_name] == lost["id"], "left")
-    out = joined.select(*plain.columns, F.size(lines).cast("long").alias("n0"), kept.alias("kept"))
+    cut = plain.withColumns({"row": F.xxhash64(body), "lines": split_lines(F.col(body))}).drop(body)
+    joined = cut.join(lost.withColumnRenamed("row", "its"), (cut[id_name] == lost["id"]) & (cut["row"] == F.col("its")), "left")
+    # Places left over by a hash set, then lines by place: work in proportion to the lines, however many are lost.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(places, lambda at: F.get(F.col("lines"), at)))
+    others = [c for c in plain.columns if c != body]
+    out = joined.select(*others, F.size("lines").cast("long").alias("n0"), kept.alias("kept"))
     return (out.withColumn("n1", F.col("n0") - F.size("kept"))
             .withColumn(body, F.array_join("kept", "\n"))
             .select(*plain.columns, "n0", "n1").toDF(*names, *counts))

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from plinth.llm import embedding_forest, mixing, ngram_join, token_files
+from plinth.llm import embedding_forest, line_runs, mixing, ngram_join, token_files
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,3 +112,13 @@ def test_token_files_of_any_vocabulary(spark):
         encoder, whole = token_files.text_encoder(vocabulary, "<u2", 1), token_files.WholeTexts(vocabulary, "<u2", 1)
         assert (type(encoder) is token_files.ChunkEncoder) == (name == "word_bpe_49k.json")
         assert encoder.encode([t.encode() for t in texts]) == whole.encode([t.encode() for t in texts])
+
+
+def test_lines_of_texts_of_one_id_and_many_lines(spark):
+    many = "\n".join(f"a line of number {i % 30000}" for i in range(40000))
+    docs = spark.createDataFrame([(1, many), (2, many + "\nonly the second text has it"), (3, "x\n" + many[:50]), (3, "y\na line of number 7"), (None, many)],
+                                 "doc_id long, text string")
+    found = {(r.doc_id, r.n_lines): (r.n_dropped, r.text) for r in line_runs.dedup_lines(docs).collect()}
+    assert found[(1, 40000)] == (0, many) and found[(None, 40000)] == (0, many)
+    assert found[(2, 40001)] == (40000, "only the second text has it")
+    assert found[(3, 2)] == (1, "y") and found[(3, 4)][1].startswith("x")
