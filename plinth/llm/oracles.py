@@ -29,4 +29,38 @@ SELECT lang, place::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::B
 FROM ranked JOIN totals USING (lang) WHERE place <= 2000
 """
 
-ORACLES: dict[str, str] = {"op13_phrases": OP13_PHRASES}
+# Equal payloads belong to the smallest page; five hash bytes give eight base-32 digits.
+OP3_WARC = r"""
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, strlen(body) AS size, sha1(body) AS hex FROM pages_),
+coded AS (SELECT page_id, size, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (((('0x' || substr(hex, 1 + 10 * (j // 8), 10))::BIGINT >> (35 - 5 * (j % 8))) & 31))::INTEGER, 1)), '') AS digest FROM hashed)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM coded WINDOW same AS (PARTITION BY digest)
+"""
+
+# A bucket is the shortest hash prefix whose texts keep within the limit; texts beyond it do not occur in the tables.
+OP4_SHARDS = r"""
+WITH hashed AS (SELECT doc_id, strlen(coalesce(text, '')) AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS code FROM documents),
+prefixes AS (SELECT doc_id, size, d, code >> (60 - d)::INTEGER AS prefix FROM hashed, range(0, 61) AS depths(d)),
+sized AS (SELECT *, sum(size) OVER (PARTITION BY d, prefix) AS total FROM prefixes),
+found AS (SELECT * FROM sized WHERE total <= 1048576 OR d = 60 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1)
+SELECT doc_id, size::BIGINT AS text_bytes, CASE WHEN d = 0 THEN '*' ELSE lpad(bin(prefix), d::INTEGER, '0') END AS shard,
+       d::INTEGER AS depth, 0::BIGINT AS page, total::BIGINT AS shard_bytes FROM found
+"""
+
+# A line of ten code points or more stays in the smallest document that holds it.
+OP5_LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+spots AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM spots),
+owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner < doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN owners USING (key) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3_WARC, "op4_extendible_shards": OP4_SHARDS, "op5_line_dedup": OP5_LINE_DEDUP, "op13_phrases": OP13_PHRASES}
