@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -19,30 +20,48 @@ SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "parquet"]
 HIDDEN = r"/(\.|~\$)[^/]*"
 
 
-def separators(spark: SparkSession, path: str) -> dict[str, str]:
-    """The separator of each file of a text table: the one that occurs most evenly in all its lines."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("path"), "value")
-    counts = lines.select("path", *[F.regexp_count("value", F.lit(re.escape(sep))).alias(f"c{i}") for i, sep in enumerate(SEPARATORS)])
+class Layout(NamedTuple):
+    """How a delimited file is written: its separator, its first filled line, whether quoted values span lines."""
+
+    sep: str
+    header: str
+    many_lines: bool
+
+
+def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, Layout]:
+    """The layout of each file of delimited text, from all its lines; files without a filled line have none.
+
+    The separator is the one that occurs most evenly.  A line with an odd number of quotes opens or closes a value
+    that spans lines: only such files are read as one split.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    counts = lines.select("path", "value", "at", (F.regexp_count("value", F.lit('"')) % 2 == 1).alias("odd"),
+                          *[F.regexp_count("value", F.lit(re.escape(sep))).alias(f"c{i}") for i, sep in enumerate(SEPARATORS)])
     parts = [f(f"c{i}").alias(f"{name}{i}") for i in range(len(SEPARATORS)) for f, name in ((F.min, "low"), (F.max, "high"))]
-    rows = counts.groupBy("path").agg(*parts).collect()  # one row for each file
-    rank = lambda r, i: (r[f"low{i}"] > 0, r[f"low{i}"] == r[f"high{i}"], r[f"low{i}"])
-    return {r["path"]: SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: rank(r, i))] for r in rows}
+    first = [F.min_by("value", "at").alias("header"), *[F.min_by(f"c{i}", "at").alias(f"first{i}") for i in range(len(SEPARATORS))]]
+    rows = counts.groupBy("path").agg(F.bool_or("odd").alias("many_lines"), *first, *parts).collect()  # one row for each file
+    even = lambda r, i: (r[f"low{i}"] > 0, r[f"low{i}"] == r[f"high{i}"], r[f"low{i}"])
+    rank = lambda r, i: (r[f"first{i}"],) if r["many_lines"] else even(r, i)  # noqa: E731  lines are no rows there: the header decides
+    return {unquote(r["path"]): Layout(SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: rank(r, i))], r["header"], r["many_lines"])
+            for r in rows}
+
+
+def read_layout(spark: SparkSession, paths: list[str], layout: Layout, source: str | None = None) -> DataFrame:
+    """Files of one layout as text columns, with their own path under the name ``source``."""
+    df = spark.read.option("header", True).option("multiLine", layout.many_lines).option("escape", '"').option("sep", layout.sep).csv(sorted(paths))
+    return df.withColumn(source, F.col("_metadata.file_path")) if source else df
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, clean: bool = True) -> DataFrame:
     """CSV, TSV and the like as text columns; types are decided by the cleaning, on whole columns.
 
-    Files of one separator are read together; files of different separators are joined by column name.
+    Files of one layout are read together; files of different layouts are joined by column name.
     """
-    reader = spark.read.option("header", True).option("multiLine", False)
-    groups: dict[str, list[str]] = {}
-    for file, own in ({} if sep else separators(spark, path)).items():
-        groups.setdefault(own, []).append(unquote(file))
-    if len(groups) < 2:
-        df = reader.option("sep", sep or next(iter(groups), SEPARATORS[0])).csv(path)
-    else:
-        parts = [reader.option("sep", own).csv(sorted(found)) for own, found in sorted(groups.items())]
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    groups: dict[Layout, list[str]] = {}
+    for file, own in layouts(spark, path).items():
+        groups.setdefault(own._replace(sep=sep or own.sep), []).append(file)
+    parts = [read_layout(spark, found, own) for own, found in sorted(groups.items())]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.read.option("header", True).csv(path)
     return cleaned(df) if clean else df
 
 
@@ -64,8 +83,18 @@ def discover(spark: SparkSession, folder: str, suffixes=tuple(SUFFIXES)) -> Data
     return files.select("path", "bytes", suffix.alias("suffix")).where(F.col("suffix").isin(*suffixes) & ~below.rlike(HIDDEN))
 
 
-def footer_rows(spark: SparkSession, path: str) -> int | None:
-    """Rows that the footer of a Parquet file names, None where it has no readable footer."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with this text, in whatever file system the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def footer(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(rows, schema) that the footer of a Parquet file names, None where it has no readable footer."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     try:
         reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
@@ -73,7 +102,7 @@ def footer_rows(spark: SparkSession, path: str) -> int | None:
     except Py4JJavaError:
         return None
     try:
-        return reader.getRecordCount()
+        return reader.getRecordCount(), reader.getFileMetaData().getSchema().toString()
     finally:
         reader.close()
 
@@ -83,7 +112,8 @@ def read_parquet_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
 
     ``failed``: the footer cannot be read, or names another number of rows than were read.
     """
-    found = [(r["path"], r["bytes"], r["suffix"], footer_rows(spark, r["path"])) for r in discover(spark, folder, ("parquet",)).collect()]
+    footers = [(r, footer(spark, r["path"])) for r in discover(spark, folder, ("parquet",)).collect()]
+    found = [(r["path"], r["bytes"], r["suffix"], named and named[0]) for r, named in footers]
     reader = spark.read.option("ignoreCorruptFiles", True)
     good = [path for path, _, _, rows in found if rows is not None]
     plain = [path for path in good if not path.rsplit("/", 1)[1].startswith("_")]  # Spark reads no file of such a name

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plinth.operators.archive import published_tables
-from plinth.sources import files, json_tables, sinks
+from plinth.sources import files, folders, json_tables, json_walk, sinks
 from plinth.streaming import snapshots as SS
 from workload.index_queries import archive_rows
 from workload.registry import query
@@ -117,6 +119,104 @@ def folder_failures(spark, sf):
     return manifest.agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.count_if("failed").alias("failed"))
 
 
+def _documents(df, name, *, file):
+    """Documents for the walk: each row of a table as one JSON object."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != file]))
+    return df.select(F.col(file).cast("string").alias("file"), F.lit(name).alias("name"), F.parse_json(text).alias("document"))
+
+
+def _pages(spark, sf, *columns, by=50):
+    """One row for each run of order keys, with a list of structs of these columns."""
+    return table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / by).alias("page")).agg(
+        F.collect_list(F.struct(*columns)).alias("rows"), F.count("*").alias("total"))
+
+
+@query("src_02_json_envelope_any", doubles="price", sql="SELECT o_orderkey AS id, o_totalprice AS price FROM orders")
+def envelope_any(spark, sf):
+    """Envelopes within envelopes: the payload is an object that holds the list."""
+    pages = _pages(spark, sf, F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    docs = pages.select("page", "total", F.struct(F.col("rows").alias("items"), F.lit("x").alias("unit")).alias("result"))
+    return json_walk.tables(json_walk.walk(_documents(docs, "data", file="page")))["data"].select("id", "price")
+
+
+@query("src_03_json_lists_beside_scalars", sql="""
+SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'prices', count(*) FROM orders WHERE o_totalprice > 100000""")
+def lists_beside_scalars(spark, sf):
+    pages = _pages(spark, sf, F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    high = F.transform(F.filter("rows", lambda r: r["price"] > 100000), lambda r: F.struct(r["price"].alias("price"), F.lit("USD").alias("currency")))
+    docs = pages.select("page", "total", F.transform("rows", lambda r: F.struct(r["id"].alias("id"))).alias("Orders"), high.alias("prices "))
+    found = json_walk.tables(json_walk.walk(_documents(docs, "data", file="page")))
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("src_04_json_unequal_columns", doubles="price", sql="""
+SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey // 100 % 3 <> 0
+UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey // 100 % 3 = 0 UNION ALL SELECT NULL, 0.5 FROM (SELECT DISTINCT o_orderkey // 100 FROM orders WHERE o_orderkey // 100 % 3 = 0)""")
+def unequal_columns(spark, sf):
+    """Columns of one length are one table; unequal ones are never padded but tables of their own."""
+    pages = _pages(spark, sf, "o_orderkey", "o_totalprice", by=100)
+    even = F.col("page") % 3 != 0
+    wrong = F.concat(F.array(F.lit(0.5)), F.array_repeat(F.lit(None).cast("double"), F.col("total").cast("int")))
+    docs = pages.select("page", F.col("rows.o_orderkey").alias("id"), F.when(even, F.col("rows.o_totalprice")).otherwise(wrong).alias("price"))
+    found = json_walk.tables(json_walk.walk(_documents(docs, "data", file="page")))
+    together = found["data"].select("id", "price")
+    alone = [found[c].where(f"{c} IS NOT NULL") for c in ("id", "price")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [together, *[df.drop("source_file") for df in alone]])
+
+
+@query("src_05_json_index_of_any_width", doubles="price", sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS key, o_totalprice AS price, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS priority FROM orders""")
+def index_of_any_width(spark, sf):
+    """Every order under its own key, fields missing here and there: no key becomes a field."""
+    record = F.struct(F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderpriority")).alias("priority"))
+    docs = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("page")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), record)))).alias("text"))
+    docs = docs.select(F.col("page").cast("string").alias("file"), F.lit("data").alias("name"), F.parse_json("text").alias("document"))
+    return json_walk.tables(json_walk.walk(docs))["data"].select("key", "price", "priority")
+
+
+@query("src_08_json_damaged_first_line", sql="SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 <> 0")
+def damaged_first_line(spark, sf):
+    """Files that begin with a damaged line and hold more of them are lines, and none is read as one row."""
+    line = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")))
+    damaged = F.col("o_orderkey") % 10 == 0
+    text = table(spark, sf, "orders").repartition(8, "o_orderkey").sortWithinPartitions(~damaged) \
+        .select(F.when(damaged, F.substring(line, 1, 5)).otherwise(line).alias("value"))
+    found, _ = json_walk.read_json_tables(spark, _written(spark, text, "text", "damaged_first"))
+    return reduce(lambda a, b: a.unionByName(b), found.values()).select("id", "priority")
+
+
+@query("src_13_mixed_folder", sql="""
+SELECT 'customers' AS name, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer
+UNION ALL SELECT 'nations', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
+UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+UNION ALL SELECT 'manifest', 2, 0""")
+def mixed_folder(spark, sf):
+    """Orders as Parquet, customers as delimited text, nations as lines; a damaged and an empty file beside them fail."""
+    found, manifest = _mixed(spark, sf)
+    keys = {"customers": "c_custkey", "nations": "n_nationkey", "orders": "o_orderkey"}
+    counts = [found[n].agg(F.count("*").alias("rows"), F.sum(F.col(k).cast("bigint")).alias("keys")).select(F.lit(n).alias("name"), "rows", "keys") for n, k in keys.items()]
+    failed = manifest.agg(F.lit("manifest").alias("name"), F.count_if("failed").alias("rows"), F.lit(0).cast("bigint").alias("keys"))
+    return reduce(lambda a, b: a.unionByName(b), [*counts, failed])
+
+
+def _mixed(spark, sf):
+    folder = SS.work_folder(spark, "mixed")
+    table(spark, sf, "orders").write.parquet(f"{folder}/orders.parquet")
+    table(spark, sf, "customer").write.option("header", True).option("sep", ";").csv(f"{folder}/customers.d")
+    table(spark, sf, "nation").write.json(f"{folder}/nations.d")
+    for name, text in (("broken.json", "{not json at all"), ("empty.csv", "")):
+        files.write_text(spark, f"{folder}/{name}", text)
+    return folders.read_folder(spark, folder)
+
+
+@query("src_14_mixed_folder_failures", sql="""
+SELECT count(*) AS rows, 2 AS failed FROM (SELECT o_orderkey FROM orders UNION ALL SELECT c_custkey FROM customer UNION ALL SELECT n_nationkey FROM nation)""")
+def mixed_folder_failures(spark, sf):
+    return _mixed(spark, sf)[1].agg(F.sum("rows").alias("rows"), F.count_if("failed").cast("int").alias("failed"))
+
+
 @query("src_22_archive_column_mapping", sql="WITH " + LISTINGS + """
 SELECT count(*) AS rows, count(*) AS priced, 0 AS with_location FROM listings""")
 def column_mapping(spark, sf):
