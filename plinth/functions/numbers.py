@@ -26,6 +26,13 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def pearson(a, b) -> Column:
+    """Correlation over the rows that have both values, NULL where either is constant (``corr`` divides by zero there)."""
+    both = _c(a).isNotNull() & _c(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, _c(a))) * F.stddev_pop(F.when(both, _c(b)))
+    return F.try_divide(F.covar_pop(_c(a), _c(b)), spread)
+
+
 def pct_change(new, old) -> Column:
     """Percent change; NULL when the base is zero, missing or not finite."""
     return (ratio(new, finite(old)) - F.lit(1.0)) * F.lit(100.0)

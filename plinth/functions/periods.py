@@ -68,7 +68,7 @@ def from_parts(year: Column, month: Column | None = None, quarter: Column | None
     """Year with a month (number or name) or a quarter; the year alone is its first day."""
     if month is not None:
         m = F.coalesce(month.try_cast("int"), month_number(month.cast("string")))
-        return F.make_date(year.try_cast("int"), F.least(F.greatest(m, F.lit(1)), F.lit(12)), F.lit(1))
+        return _first_of(year.try_cast("int"), F.when(m.isNotNull(), F.least(F.greatest(m, F.lit(1)), F.lit(12))))
     if quarter is not None:
         q = F.regexp_extract(quarter.cast("string"), r"(\d)", 1).try_cast("int")
         return _first_of(year.try_cast("int"), (q - 1) * 3 + 1)

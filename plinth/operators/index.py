@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.numbers import pct_change, ratio
+from plinth.functions.numbers import pct_change, pearson, ratio
 from plinth.functions.places import UNKNOWN, region_position
 from plinth.operators.archive import national
 
@@ -229,7 +229,7 @@ def level_change_rank_correlation(table: DataFrame, level="level", change="chang
         return F.rank().over(everything().orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
     rows = table.where(F.col(level).isNotNull() & F.col(change).isNotNull()) \
         .withColumn("a", rank(level)).withColumn("b", rank(change))
-    out = rows.agg(F.count("*").alias("places"), F.corr("a", "b").alias("rho")).where("places >= 6")
+    out = rows.agg(F.count("*").alias("places"), pearson("a", "b").alias("rho")).where("places >= 6")
     return out.withColumn("reading", F.when(F.col("rho") <= -0.4, "converging")
                           .when(F.col("rho") >= 0.4, "diverging").otherwise("no pattern"))
 

@@ -11,6 +11,7 @@ from plinth.operators import report as R
 from plinth.operators import sets as S
 from plinth.operators import topk as K
 from plinth.operators import translate as T
+from plinth.plans.dataset import tidy_panel, understand
 from workload.registry import query
 from workload.tables import LISTINGS, PANEL, listings, monthly_panel, table
 
@@ -88,6 +89,29 @@ def year_quarter(spark, sf):
                         D.from_parts(F.col("year"), month=F.col("m").cast("string")).alias("by_month")).agg(F.count("*").alias("n"))
 
 
+@query("prf_05_parts_in_the_panel", doubles="value", sql="""
+SELECT make_date(year(o_orderdate), month(o_orderdate), 1) AS date, count(*) AS n, sum(o_totalprice) AS value FROM orders GROUP BY 1""")
+def parts_in_the_panel(spark, sf):
+    """A table without a date column: its year and month columns are found, joined and left out of the metrics."""
+    d = F.to_date("o_orderdate")
+    rows = table(spark, sf, "orders").select(F.year(d).alias("Year"), F.month(d).alias("Month"), F.col("o_totalprice").alias("avg_price_usd"))
+    tidy, _ = tidy_panel(*understand(rows))
+    return tidy.groupBy("date").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+@query("prf_03_numeric_dates", doubles="share", sql="""
+SELECT 'day' AS column_name, 1.0 AS share UNION ALL SELECT 'month', 1.0 UNION ALL SELECT 'year', 1.0
+UNION ALL SELECT 'o_orderkey', 0.0 UNION ALL SELECT 'o_totalprice', 0.0
+UNION ALL SELECT 'odd', count(*) FILTER (WHERE o_orderkey % 5 <> 0) * 1.0 / count(*) FROM orders""")
+def numeric_dates(spark, sf):
+    d = F.to_date("o_orderdate")
+    as_number = lambda p: F.date_format(d, p).cast("bigint")
+    odd = F.when(F.col("o_orderkey") % 5 == 0, F.year(d) * 100 + 13).otherwise(as_number("yyyyMM"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", as_number("yyyyMMdd").alias("day"), as_number("yyyyMM").alias("month"),
+                                             F.year(d).alias("year"), odd.alias("odd"))
+    return P.numeric_dates(rows, rows.columns)
+
+
 @query("prf_04_numeric_periods", sql="""
 SELECT CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, make_date(year(o_orderdate), 1, 1) AS year, count(*) AS n
 FROM orders GROUP BY 1, 2, 3""")
@@ -100,6 +124,21 @@ def numeric_periods(spark, sf):
     return rows.groupBy(at("a").alias("day"), at("b").alias("month"), at("c").alias("year")).agg(F.count("*").alias("n"))
 
 
+NUMBERED = "SELECT p_retailprice AS a, p_retailprice * 12.5 AS b, CAST(p_size AS DOUBLE) AS c FROM part"
+
+
+@query("prf_10_numbered_pairs", doubles="r ratio_cv", sql=" UNION ALL ".join(f"""
+SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({x}, {y}) AS r, stddev_pop({x} / {y}) / avg({x} / {y}) AS ratio_cv,
+  CASE WHEN stddev_pop({x} / {y}) / avg({x} / {y}) < 0.02 AND corr({x}, {y}) > 0.98 THEN 'unit conversion'
+  WHEN corr({x}, {y}) > 0.9 THEN 'related' ELSE 'different' END AS kind FROM ({NUMBERED}) AS t"""
+    for a, b, x, y in (("price1", "price2", "a", "b"), ("price1", "price3", "a", "c"), ("price2", "price3", "b", "c"))))
+def numbered_pairs(spark, sf):
+    """price1, price2, price3: one stem, every two of them compared over the whole table."""
+    rows = table(spark, sf, "part").select(F.col("p_retailprice").alias("price1"), (F.col("p_retailprice") * 12.5).alias("price2"),
+                                           F.col("p_size").cast("double").alias("price3"))
+    return P.pair_tests(rows, P.classify_table(rows)).drop("median_ratio")
+
+
 @query("prf_07_pick_columns")
 def pick_columns(spark, sf):
     return P.pick_columns(P.classify_table(listings(spark, sf)))
