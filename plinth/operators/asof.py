@@ -15,12 +15,28 @@ from pyspark.sql import functions as F
 
 
 def _window_join(left: DataFrame, right: DataFrame, keys: Sequence[str], low, high, right_date: str,
-                 width: int) -> DataFrame:
+                 width: int, how: str = "inner") -> DataFrame:
     bucket = lambda d: F.floor(F.unix_date(d) / F.lit(width))
     l = left.withColumn("__low", low).withColumn("__high", high)
-    l = l.withColumn("__b", F.explode(F.sequence(bucket(F.col("__low")), bucket(F.col("__high")))))
+    l = l.withColumn("__b", F.explode_outer(F.sequence(bucket(F.col("__low")), bucket(F.col("__high")))))
     r = right.where(F.col(right_date).isNotNull()).withColumn("__b", bucket(F.col(right_date)))
-    return l.join(r, [*keys, "__b"]).where(F.col(right_date).between(F.col("__low"), F.col("__high")))
+    r = r.select(*[F.col(k).alias(f"__r_{k}") if k in (*keys, "__b") else F.col(k) for k in r.columns])
+    cond = F.col(right_date).between(F.col("__low"), F.col("__high"))
+    for key in (*keys, "__b"):
+        cond = cond & (F.col(key) == F.col(f"__r_{key}"))
+    return l.join(r, cond, how).drop(*[f"__r_{k}" for k in (*keys, "__b")])
+
+
+def _each_row(left: DataFrame, right: DataFrame, keys: Sequence[str], low, high, width: int, *best) -> DataFrame:
+    """``left`` with aggregates of the ``right`` rows (keys, __rd, __rv) in its window, NULL where there are none.
+
+    The left side is computed once: its rows travel through the join and are never joined back by their
+    values, since a mean that is computed again may differ in its last bits.  Equal rows stay as many.
+    """
+    counted = left.groupBy(*left.columns).agg(F.count("*").alias("__copies"))
+    found = _window_join(counted, right, keys, low, high, "__rd", width, "left")
+    out = found.groupBy(*left.columns, "__copies").agg(*best)
+    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str, right_date: str, value: str,
@@ -30,24 +46,17 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str,
     Left rows without a match keep NULL.
     """
     r = right.select(*keys, F.col(right_date).alias("__rd"), F.col(value).alias("__rv"))
-    found = _window_join(left, r, keys, F.date_sub(target, days), F.date_add(target, days), "__rd", 2 * days + 1)
-    best = found.groupBy(*left.columns).agg(F.min_by(
-        "__rv", F.struct(F.abs(F.date_diff("__rd", F.col(target))).alias("gap"), F.col("__rd"))).alias(out))
-    return _attach(left, best, out)
+    gap = F.when(F.col("__rd").isNotNull(), F.struct(F.abs(F.date_diff("__rd", F.col(target))).alias("gap"), F.col("__rd")))
+    return _each_row(left, r, keys, F.date_sub(target, days), F.date_add(target, days), 2 * days + 1,
+                     F.min_by("__rv", gap).alias(out))
 
 
 def backward(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str, right_date: str, value: str,
              days: int, out: str = "rate") -> DataFrame:
     """Latest value dated on or at most ``days`` before ``target``, with the date it was in force."""
     r = right.select(*keys, F.col(right_date).alias("__rd"), F.col(value).alias("__rv"))
-    found = _window_join(left, r, keys, F.date_sub(target, days), F.col(target), "__rd", days + 1)
-    best = found.groupBy(*left.columns).agg(F.max_by("__rv", "__rd").alias(out), F.max("__rd").alias(f"{out}_date"))
-    return _attach(left, best, out, f"{out}_date")
-
-
-def _attach(left: DataFrame, best: DataFrame, *outs: str) -> DataFrame:
-    from plinth.operators.order_stats import join_on
-    return join_on(left, best, left.columns, "left").select(*left.columns, *outs)
+    return _each_row(left, r, keys, F.date_sub(target, days), F.col(target), days + 1,
+                     F.max_by("__rv", "__rd").alias(out), F.max("__rd").alias(f"{out}_date"))
 
 
 def quarter_end_rates(quarters: DataFrame, rates: DataFrame, today, days: int = 10) -> DataFrame:
