@@ -26,6 +26,7 @@ LABEL_PARAMS = {
     "house_type": "building_type", "repairs": "condition", "furnished": "furnished", "layout": "layout", "wc": "bathroom",
     "comission": "agent_commission", "year_of_construction_rent": "year_built", "year_of_construction": "year_built",
 }
+PARAMS = ["price", *NUMERIC_PARAMS, *LABEL_PARAMS, "market", "market_type"]
 RENT_MARKERS = ["year_of_construction_rent", "comission", "rent"]
 RENT_WORDS = ["ijara", "arenda", "аренд", "rent", "kiraga", "ijaraga"]
 FIRST_MARKET, SECOND_MARKET, NO_MARKET = "Birlamchi", "Ikkilamchi", "Aniqlanmagan"
@@ -72,14 +73,20 @@ def explode_pages(pages: DataFrame) -> DataFrame:
 
 
 def param(key: str) -> Column:
-    """Value struct of the last parameter with this key (over the columns of ``with_params``)."""
-    at = F.nullif(F.array_position("__keys", key), F.lit(0))
-    return F.try_element_at("__values", at.cast("int"))
+    """Value struct of the last parameter with this key (over the column of ``with_params``)."""
+    return F.get("__params", F.lit(PARAMS.index(key)))
 
 
 def with_params(ads: DataFrame) -> DataFrame:
-    """Parameter keys and values as two arrays, last parameter first."""
-    return ads.withColumns({"__keys": F.reverse("params.key"), "__values": F.reverse("params.value")})
+    """The value structs of the known parameters as one array, the last of each key, NULL where it is absent.
+
+    The generator is a fence: the optimiser copies nothing over it, so the array is made once a row
+    and not once for each column and again for the filter of the price.
+    """
+    keys, values = F.reverse("params.key"), F.reverse("params.value")
+    found = [F.try_element_at("__values", F.nullif(F.array_position("__keys", k), F.lit(0)).cast("int")) for k in PARAMS]
+    rows = ads.select("*", F.inline(F.array(F.struct(keys.alias("__keys"), values.alias("__values")))))
+    return rows.select("*", F.explode(F.array(F.array(*found))).alias("__params")).drop("__keys", "__values")
 
 
 def advert_rows(ads: DataFrame) -> DataFrame:
