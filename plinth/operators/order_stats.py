@@ -22,6 +22,7 @@ from plinth.session import measured
 
 CELLS_PER_E = 256           # coarse cells, about 0.4 % of the value wide
 FINE_PER_E = 1 << 20        # 4096 fine cells inside one coarse cell
+SUB_CELLS = 1 << 16         # parts of one fine cell, between its least and its greatest value
 CELL_ORIGIN = 1 << 30       # > 745 * FINE_PER_E: keeps magnitudes positive
 PART_ROWS = 1 << 20         # rows of one range when rows are ranked or numbered
 
@@ -152,12 +153,22 @@ def _values_at_ranks(cells: DataFrame, long: DataFrame, keys: Sequence[str], col
         WITH counted AS (SELECT * FROM {{counted}}),
         fines AS (
           SELECT *, sum(fn) OVER ({part}, cell ORDER BY fine) - fn AS before
-          FROM (SELECT {ks}m, cell, fine, sum(n) AS fn, any_value(targets) AS ft FROM counted GROUP BY {ks}m, cell, fine)),
+          FROM (SELECT {ks}m, cell, fine, sum(n) AS fn, min(v) AS lo, max(v) AS hi, any_value(targets) AS ft
+                FROM counted GROUP BY {ks}m, cell, fine)),
         kept AS (SELECT * FROM fines WHERE exists(ft, t -> t.k >= before AND t.k < before + fn)),
-        placed AS (
-          SELECT {vcols}, y.before + sum(x.n) OVER (
-            PARTITION BY {"".join(f"x.`{k}`, " for k in keys)}x.m, x.cell, x.fine ORDER BY x.v) AS upto
+        cut AS (
+          SELECT {vcols}, x.m, x.cell, x.fine, y.before, y.ft,
+            coalesce(floor(try_divide(x.v - y.lo, y.hi - y.lo) * {SUB_CELLS}D), 0) AS sub
           FROM counted x JOIN kept y ON {same('x', 'y', 'cell', 'fine')}),
+        subs AS (
+          SELECT *, before + sum(sn) OVER ({part}, cell, fine ORDER BY sub) - sn AS start
+          FROM (SELECT {ks}m, cell, fine, sub, sum(n) AS sn, any_value(before) AS before, any_value(ft) AS ft
+                FROM cut GROUP BY {ks}m, cell, fine, sub)),
+        hit AS (SELECT * FROM subs WHERE exists(ft, t -> t.k >= start AND t.k < start + sn)),
+        placed AS (
+          SELECT {vcols}, y.start + sum(x.n) OVER (
+            PARTITION BY {"".join(f"x.`{k}`, " for k in keys)}x.m, x.cell, x.fine, x.sub ORDER BY x.v) AS upto
+          FROM cut x JOIN hit y ON {same('x', 'y', 'cell', 'fine', 'sub')}),
         found AS (
           SELECT {ks}v, t FROM placed
           LATERAL VIEW explode(filter(targets, t -> t.k < upto AND t.k >= upto - n)) AS t)
