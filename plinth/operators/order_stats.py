@@ -146,9 +146,10 @@ def _values_at_ranks(cells: DataFrame, long: DataFrame, keys: Sequence[str], col
     lcols = "".join(f"l.`{k}`, " for k in keys) + "l.m, l.cell, l.v"
     vcols = "".join(f"x.`{k}`, " for k in keys) + "x.v, x.n, x.targets"
     counted = measured(spark.sql(f"""
-          SELECT {lcols}, count(*) AS n, any_value(h.targets) AS targets,
-                 any_value({_cell_sql('l.v', FINE_PER_E)}) AS fine
-          FROM {{long}} l JOIN {{hits}} h ON {same('l', 'h', 'cell')} GROUP BY {lcols}""", long=long, hits=hits))
+          SELECT g.*, h.targets FROM (
+            SELECT {lcols}, count(*) AS n, any_value({_cell_sql('l.v', FINE_PER_E)}) AS fine
+            FROM {{long}} l JOIN {{hits}} h ON {same('l', 'h', 'cell')} GROUP BY {lcols}) g
+          JOIN {{hits}} h ON {same('g', 'h', 'cell')}""", long=long, hits=hits))
     return spark.sql(f"""
         WITH counted AS (SELECT * FROM {{counted}}),
         fines AS (
