@@ -29,22 +29,31 @@ def _priced(df: DataFrame) -> DataFrame:
     return df.where("area_key IS NOT NULL AND price_key IS NOT NULL")
 
 
-def cross_source_groups(df: DataFrame) -> DataFrame:
-    """Groups of one dwelling advertised in more than one source, with their first row.
+def duplicate_groups(df: DataFrame) -> DataFrame:
+    """Every group with its first row, ``copies``, ``sourced`` (rows that name a source) and ``crossed`` (two sources or more).
 
     One aggregate over the duplicate keys: copies collapse before they are shuffled.
     """
     rest = sorted(c for c in df.columns if c not in DUPLICATE_KEYS and c != "source")
-    first = F.min(F.struct("source", *rest)).alias("first")
     groups = _priced(df).groupBy(*DUPLICATE_KEYS).agg(
-        F.count("*").alias("copies"), F.min("source").alias("a"), F.max("source").alias("b"), first)
-    return groups.where("a <> b").select(*DUPLICATE_KEYS, "copies", "first")
+        F.count("*").alias("copies"), F.count("source").alias("sourced"), F.min("source").alias("a"), F.max("source").alias("b"),
+        F.min(F.struct("source", *rest)).alias("first"))
+    return groups.select(*DUPLICATE_KEYS, "copies", "sourced", F.coalesce(F.col("a") != F.col("b"), F.lit(False)).alias("crossed"), "first")
+
+
+def cross_source_groups(df: DataFrame) -> DataFrame:
+    """Groups of one dwelling advertised in more than one source."""
+    return duplicate_groups(df).where("crossed").select(*DUPLICATE_KEYS, "copies")
 
 
 def drop_cross_source(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every group found in two sources keeps only its first row."""
-    keep = groups.select(*DUPLICATE_KEYS, "first.*").select(*df.columns)
-    return join_on(df, groups.select(*DUPLICATE_KEYS), DUPLICATE_KEYS, "left_anti").unionByName(keep)
+    """Every group found in two sources keeps only its first row; ``groups`` are those of :func:`duplicate_groups`.
+
+    Rows are looked up only for groups repeated within one source; all others have their row at hand.
+    """
+    alone = groups.where("crossed OR copies = 1").select(*DUPLICATE_KEYS, "first.*").select(*df.columns)
+    again = join_on(df, groups.where("NOT crossed AND copies > 1").select(*DUPLICATE_KEYS), DUPLICATE_KEYS, "left_semi")
+    return alone.unionByName(again).unionByName(df.where("area_key IS NULL OR price_key IS NULL"))
 
 
 def same_source_repeats(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -65,7 +74,10 @@ def implausible_price(value: str = "sqm_usd", sale=SALE_BAND, rent=RENT_BAND) ->
 
 
 def log_mad_bounds(df: DataFrame, value: str = "sqm_usd", keys: Sequence[str] = ("kind", "property")) -> DataFrame:
-    """(keys, centre, spread, n): median and median absolute deviation of the logarithm."""
+    """(keys, centre, spread, n): median and median absolute deviation of the logarithm.
+
+    Reads its rows four times: pass a table, not a plan of joins.
+    """
     keys = list(keys)
     logged = df.where(F.col(value).isNotNull()).select(*keys, F.ln(F.greatest(F.col(value), F.lit(1e-6))).alias("lx"))
     centre = summarise(logged, keys, [F.count("*").alias("n")], {"lx": {"centre": .5}})
@@ -93,14 +105,19 @@ def audit(df: DataFrame, screened: int = 0, known: Column | None = None, sale=SA
     ``extra`` adds screens as (code, predicate, action) which are counted on the cleaned rows.
     """
     known = is_known_region("region") if known is None else known
-    rows = with_duplicate_keys(df.withColumn("place_ok", known))
-    groups = measured(cross_source_groups(rows))
+    rows = measured(with_duplicate_keys(df.withColumn("place_ok", known)))
+    groups = measured(duplicate_groups(rows))
     kept = drop_cross_source(rows, groups)
-    flagged = kept.withColumn("bad_rooms", bad_rooms()).withColumn("implausible", implausible_price(sale=sale, rent=rent))
-    flagged = with_outlier_flag(flagged, log_mad_bounds(kept))
-    flagged = flagged.withColumn("outlier", F.col("outlier") & ~F.col("implausible"))
+    # What the counts and the bounds read, five times: the columns they need, written once.
+    counted = measured(kept if extra else kept.select("kind", "property", "rooms", "sqm_usd"))
+    bounds = log_mad_bounds(counted)
+
+    def flags(df: DataFrame) -> DataFrame:
+        df = df.withColumn("bad_rooms", bad_rooms()).withColumn("implausible", implausible_price(sale=sale, rent=rent))
+        return with_outlier_flag(df, bounds).withColumn("outlier", F.col("outlier") & ~F.col("implausible"))
+
     hide = F.col("implausible") | F.col("outlier")
-    clean = flagged.withColumn("rooms", F.when(~F.col("bad_rooms"), F.col("rooms"))) \
+    clean = flags(kept).withColumn("rooms", F.when(~F.col("bad_rooms"), F.col("rooms"))) \
         .withColumn("sqm_usd", F.when(~hide, F.col("sqm_usd")))
     if "sqm_uzs" in df.columns:
         clean = clean.withColumn("sqm_uzs", F.when(~hide, F.col("sqm_uzs")))
@@ -111,7 +128,7 @@ def audit(df: DataFrame, screened: int = 0, known: Column | None = None, sale=SA
                           F.lit(action).alias("action"),
                           F.when(F.coalesce(warn, F.lit(False)), "warn").otherwise("info").alias("severity"))
 
-    counts = flagged.agg(
+    counts = flags(counted).agg(
         F.count("*").alias("n"), F.count_if("bad_rooms").alias("rooms"), F.count_if("implausible").alias("classification"),
         F.count_if("outlier").alias("outlier"),
         *[F.count_if(pred).alias(f"x_{code}") for code, pred, _ in extra])
@@ -123,9 +140,11 @@ def audit(df: DataFrame, screened: int = 0, known: Column | None = None, sale=SA
                  F.when(F.lit(share is not None) & (F.col(col) > F.lit(share or 0.0) * F.greatest("n", F.lit(1))), "warn")
                   .otherwise("info").alias("severity"))
         for code, col, action, share in entries])))
+    # Offers repeated inside one source: the groups that are in no second one, rows without a source apart.
+    again = F.greatest(F.col("sourced") - 1, F.lit(0)) + F.greatest(F.col("copies") - F.col("sourced") - 1, F.lit(0))
     findings = finding(rows, "place", F.count_if(~F.col("place_ok")), "left out of regional tables", 0.1) \
-        .unionByName(finding(groups, "cross_source", F.sum(F.col("copies") - 1), "counted once")) \
-        .unionByName(finding(same_source_repeats(rows, groups), "repeat", F.sum(F.col("n") - 1), "kept in counts")) \
+        .unionByName(finding(groups.where("crossed"), "cross_source", F.sum(F.col("copies") - 1), "counted once")) \
+        .unionByName(finding(groups.where("NOT crossed"), "repeat", F.sum(again), "kept in counts")) \
         .unionByName(per_row)
     if screened:
         findings = findings.unionByName(finding(groups.limit(0), "screened", F.lit(screened), "excluded upstream"))

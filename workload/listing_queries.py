@@ -394,8 +394,8 @@ def unknown_place(spark, sf):
 @query("qa_02_cross_source_duplicates", doubles="price_usd total_area", sql=QA + """
 SELECT listing_id, source, kind, region, price_usd, total_area FROM kept""")
 def cross_source(spark, sf):
-    rows = Q.with_duplicate_keys(qa_rows(spark, sf))
-    return Q.drop_cross_source(rows, Q.cross_source_groups(rows)).select("listing_id", "source", "kind", "region", "price_usd", "total_area")
+    rows = measured(Q.with_duplicate_keys(qa_rows(spark, sf)))
+    return Q.drop_cross_source(rows, measured(Q.duplicate_groups(rows))).select("listing_id", "source", "kind", "region", "price_usd", "total_area")
 
 
 @query("qa_03_same_source_repeats", sql=QA + """
@@ -430,8 +430,8 @@ bounds AS (SELECT kind, property, centre, quantile_cont(abs(lx - centre), 0.5) A
 SELECT kind, property, centre, spread, count(*) AS n, count(*) FILTER (WHERE abs(lx - centre) > 4 * 1.4826 * spread) AS outliers
 FROM lg JOIN bounds USING (kind, property) GROUP BY 1, 2, 3, 4""")
 def mad(spark, sf):
-    rows = qa_rows(spark, sf)
-    bounds = measured(Q.log_mad_bounds(rows))
+    rows = measured(qa_rows(spark, sf).select("kind", "property", "sqm_usd"))
+    bounds = Q.log_mad_bounds(rows)
     flagged = Q.with_outlier_flag(rows, bounds).groupBy("kind", "property").agg(
         F.count("*").alias("n"), F.count_if("outlier").alias("outliers"))
     return flagged.join(bounds.select("kind", "property", "centre", "spread"), ["kind", "property"])
