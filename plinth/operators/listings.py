@@ -89,31 +89,53 @@ def with_params(ads: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.array(*found))).alias("__params")).drop("__keys", "__values")
 
 
+def in_steps(rows: DataFrame, columns: dict[str, Column], most: int = 4) -> DataFrame:
+    """The rows with the columns as ``__name``, made a few at a time behind a generator each.
+
+    Spark compiles a projection to one method, and a method of more than 8,000 bytes is never
+    optimised by the JVM; behind a generator it is a method of its own.
+    """
+    names = list(columns)
+    for at in range(0, len(names), most):
+        rows = rows.select("*", F.inline(F.array(F.struct(*[columns[n].alias(f"__{n}") for n in names[at:at + most]]))))
+    return rows
+
+
 def advert_rows(ads: DataFrame) -> DataFrame:
     """One flat row per advert with a price."""
     price = param("price")
-    cols = {
-        "listing_id": F.col("id"), "title": F.col("title"), "url": F.col("url"), "date": clean_text("created_time"),
-        "region": place_name(F.col("location.region")), "city": place_name(F.col("location.city")),
-        "seller": F.when(F.coalesce("business", F.lit(False)), "business").otherwise("private"),
-        "price": finite(price["value"].try_cast("double")),
-        "currency": F.upper(F.trim(F.coalesce(price["currency"], F.lit("")))),
-        "negotiable": F.coalesce(price["negotiable"], F.lit(False)),
-    }
+    numbers, labels = {}, {}
     for key, name in NUMERIC_PARAMS.items():
         v = param(key)
-        cols[name] = finite(F.coalesce(v["key"], v["value"]).try_cast("double"))
+        numbers[name] = finite(F.coalesce(v["key"], v["value"]).try_cast("double"))
     for key, name in LABEL_PARAMS.items():
         label = clean_text(param(key)["label"])
-        cols[name] = F.coalesce(label, cols[name]) if name in cols else label
+        labels[name] = F.coalesce(label, labels[name]) if name in labels else label
     market = F.coalesce(param("market"), param("market_type"))
     label, code = F.lower(market["label"]), F.lower(market["key"])
-    cols["market"] = F.when((code == "primary") | label.rlike("первич|birlamchi"), FIRST_MARKET) \
+    labels["market"] = F.when((code == "primary") | label.rlike("первич|birlamchi"), FIRST_MARKET) \
         .when((code == "secondary") | label.rlike("вторич|ikkilamchi"), SECOND_MARKET).otherwise(NO_MARKET)
     place = ads.schema["location"].dataType
-    cols["district"] = place_name(F.col("location.district")) if "district" in place.names else F.lit(None).cast("string")
-    return with_params(ads).select(*[c.alias(n) for n, c in cols.items()],
-                      *[c for c in ("collection_category",) if c in ads.columns]).where("price IS NOT NULL")
+    places = {
+        "region": place_name(F.col("location.region")), "city": place_name(F.col("location.city")),
+        "district": place_name(F.col("location.district")) if "district" in place.names else F.lit(None).cast("string"),
+    }
+    paid = {
+        "price": finite(price["value"].try_cast("double")),
+        "currency": F.upper(F.trim(F.coalesce(price["currency"], F.lit("")))),
+        "negotiable": F.coalesce(price["negotiable"], F.lit(False)),
+    }
+    rows = with_params(ads)
+    for made in (paid, numbers, labels, places):
+        rows = in_steps(rows, made)
+        rows = rows.where("__price IS NOT NULL") if made is paid else rows
+    own = {
+        "listing_id": F.col("id"), "title": F.col("title"), "url": F.col("url"), "date": clean_text("created_time"),
+        "region": F.col("__region"), "city": F.col("__city"),
+        "seller": F.when(F.coalesce("business", F.lit(False)), "business").otherwise("private"),
+    }
+    rest = {n: F.col(f"__{n}") for n in (*paid, *numbers, *labels, "district")}
+    return rows.select(*[c.alias(n) for n, c in {**own, **rest}.items()], *[c for c in ("collection_category",) if c in ads.columns])
 
 
 def dedupe(rows: DataFrame, keys=("listing_id",), order=("date",)) -> DataFrame:
