@@ -101,14 +101,14 @@ ISSUES = "(" + " UNION ALL ".join(f"SELECT doc_id, par, {code} AS code FROM ({sq
 @query("agg_26_issue_counts_all", sql=f"SELECT code, count(*) AS n FROM {ISSUES} GROUP BY 1")
 def issue_counts_all(spark, sf):
     """All seven checks; ``agg_26_issue_counts`` runs two of them."""
-    return T.issue_counts(T.issues(pars(spark, sf), PHRASES))
+    return T.issue_counts(T.issues(pars(spark, sf), PHRASES, details=False))
 
 
 @query("rpt_13_rewritable_issues_all", sql=f"""
 SELECT doc_id, par, code, count(*) AS n FROM {ISSUES} WHERE code IN ('phrase', 'repeat', 'opening', 'long', 'flat', 'notation') GROUP BY 1, 2, 3""")
 def rewritable_all(spark, sf):
     """All seven checks; ``rpt_13_rewritable_issues`` runs two of them."""
-    return T.rewritable(T.issues(pars(spark, sf), PHRASES))
+    return T.rewritable(T.issues(pars(spark, sf), PHRASES, details=False))
 
 
 @query("txt_12_fact_masking", sql=r"""
