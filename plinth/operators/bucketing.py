@@ -24,10 +24,12 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
     bucket are a bucket of their own, with no bounds.
     """
     places = list(places)
-    ends = rows.agg(F.floor(F.min(price)).cast("double").alias("a"), F.floor(F.max(price)).cast("double").alias("b")).first()
+    # Copies of a price collapse to a count, in the one pass over the rows; all else comes from these counts.
+    priced = measured(rows.select(*places, F.floor(price).cast("double").alias("__p")).groupBy(*places, "__p").agg(F.count("*").alias("c")))
+    full = measured(priced.groupBy(*places).agg(F.sum("c").alias("n"), F.min("__p").alias("a"), F.max("__p").alias("b")))
+    ends = full.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
     floor = min(PRICE_FLOOR, ends["a"] if ends["a"] is not None else PRICE_FLOOR)
     ceiling = max(PRICE_CEILING, ends["b"] if ends["b"] is not None else PRICE_CEILING)
-    full = measured(rows.groupBy(*places).agg(F.count("*").alias("n")))
     # Shallowest level at which the prefix of a path fits, else the deepest one.
     level = F.lit(len(places))
     sized = full.withColumn("t0", F.sum("n").over(Window.partitionBy(F.lit(0))))
@@ -43,18 +45,13 @@ def capacity_buckets(rows: DataFrame, places: Sequence[str], price: str, capacit
     bands = cut_lineage(bands)
     done = bands.where(F.col("rows") <= capacity)
     over = bands.where(F.col("rows") > capacity)
-    priced = None
+    deep = over.select(*places, "level")
+    unpriced = join_on(priced.where("__p IS NULL"), deep, places, "inner")
+    done = done.unionByName(unpriced.select(*places, "level", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+                                            F.col("c").alias("rows"), F.lit(0).alias("depth")))
     for depth in range(1, MAX_DEPTH + 1):
         if over.isEmpty():
             break
-        if priced is None:  # copies of a price collapse to a count before any round touches them
-            deep = over.select(*places, "level")
-            priced = join_on(rows.select(*places, F.floor(price).cast("double").alias("__p")), deep.select(*places), places, "left_semi") \
-                .groupBy(*places, "__p").agg(F.count("*").alias("c"))
-            priced = cut_lineage(priced)
-            unpriced = join_on(priced.where("__p IS NULL"), deep.select(*places, "level"), places, "inner")
-            done = done.unionByName(unpriced.select(*places, "level", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-                                                    F.col("c").alias("rows"), F.lit(0).alias("depth")))
         middle = F.floor(F.sqrt(F.greatest("low", F.lit(1.0)) * F.col("high")))
         middle = F.when((middle > F.col("low")) & (middle < F.col("high")), middle) \
             .otherwise(F.floor((F.col("low") + F.col("high")) / 2)).cast("double")
