@@ -15,6 +15,8 @@ from workload.tables import LISTINGS, listings, table
 
 WITH = "WITH " + LISTINGS
 RATE = 12650.0
+# Listings for each task that makes pages of them, or counts their ids.
+PAGED_ROWS = 200_000
 
 SOURCE_ADS = WITH + """,
 src AS (SELECT *, CASE listing_id % 4 WHEN 0 THEN 'UYE' WHEN 1 THEN 'UZS' WHEN 2 THEN 'USD' ELSE 'EUR' END AS currency FROM listings),
@@ -27,9 +29,9 @@ raw AS (SELECT listing_id, 'Flat in ' || region AS title, CAST(date AS VARCHAR)
   FROM src WHERE rooms <> 7)"""
 
 
-def ads(spark, sf):
-    """The listings as the nested adverts of a feed; one advert in seven carries no price."""
-    text = lambda c: F.col(c).cast("string")
+def advert(at=F.col):
+    """The columns of one advert of a feed, from those of a listing; one advert in seven carries no price."""
+    text = lambda c: at(c).cast("string")
 
     def p(key, value=None, currency=None, negotiable=None, code=None, label=None):
         none = F.lit(None).cast("string")
@@ -38,22 +40,27 @@ def ads(spark, sf):
             (negotiable if negotiable is not None else F.lit(None).cast("boolean")).alias("negotiable"),
             (code if code is not None else none).alias("key"), (label if label is not None else none).alias("label")).alias("value"))
 
-    m = F.col("listing_id") % 4
+    m = at("listing_id") % 4
     currency = F.when(m == 0, "UYE").when(m == 1, "UZS").when(m == 2, "USD").otherwise("EUR")
-    price = F.when(currency == "UZS", F.col("price_usd") * RATE).otherwise(F.col("price_usd"))
+    price = F.when(currency == "UZS", at("price_usd") * RATE).otherwise(at("price_usd"))
     params = F.array_compact(F.array(
-        F.when(F.col("rooms") != 7, p("price", price.cast("string"), F.lower(currency), F.col("source") == "A")),
+        F.when(at("rooms") != 7, p("price", price.cast("string"), F.lower(currency), at("source") == "A")),
         p("total_area", code=text("total_area")), p("number_of_rooms", value=text("rooms")),
-        p("repairs", label=F.concat(F.lit("  "), F.col("segment"), F.lit(" "))),
-        p("market", code=F.when(F.col("market") == "F", "primary").when(F.col("market") == "O", "secondary"))))
-    slug = F.lower("region")
-    place = F.struct(F.when(F.col("segment") != "BUILDING", F.col("region")).alias("name"), slug.alias("normalized_name"))
-    return listings(spark, sf).select(
-        F.col("listing_id").alias("id"), F.concat(F.lit("Flat in "), F.col("region")).alias("title"),
+        p("repairs", label=F.concat(F.lit("  "), at("segment"), F.lit(" "))),
+        p("market", code=F.when(at("market") == "F", "primary").when(at("market") == "O", "secondary"))))
+    slug = F.lower(at("region"))
+    place = F.struct(F.when(at("segment") != "BUILDING", at("region")).alias("name"), slug.alias("normalized_name"))
+    return [
+        at("listing_id").alias("id"), F.concat(F.lit("Flat in "), at("region")).alias("title"),
         F.lit(None).cast("string").alias("url"), F.concat(F.lit(" "), text("date")).alias("created_time"),
-        (F.col("source") == "B").alias("business"), F.struct(F.lit(1).alias("id")).alias("category"),
-        F.struct(F.struct(F.col("macro_region").alias("name"), F.lit(None).cast("string").alias("normalized_name")).alias("city"),
-                 place.alias("region")).alias("location"), params.alias("params"), "kind", "property")
+        (at("source") == "B").alias("business"), F.struct(F.lit(1).alias("id")).alias("category"),
+        F.struct(F.struct(at("macro_region").alias("name"), F.lit(None).cast("string").alias("normalized_name")).alias("city"),
+                 place.alias("region")).alias("location"), params.alias("params"), at("kind").alias("kind"), at("property").alias("property")]
+
+
+def ads(spark, sf):
+    """The listings as the nested adverts of a feed."""
+    return listings(spark, sf).select(*advert())
 
 
 @query("lst_01_advert_params", doubles="price total_area rooms", sql=SOURCE_ADS + """
@@ -95,11 +102,18 @@ def safe_text_all(spark, sf):
 
 @query("src_21_explode_pages", sql=SOURCE_ADS + " SELECT kind, count(*) AS adverts, count(DISTINCT listing_id) AS ids FROM src GROUP BY 1")
 def explode_pages(spark, sf):
-    rows = ads(spark, sf)
-    odd = F.col("id") % 2 == 1
-    pages = rows.where(odd).groupBy(F.floor(F.col("id") / 40)).agg(F.collect_list(F.struct(*rows.columns)).alias("data")).select("data")
-    both = pages.unionByName(rows.where(~odd), allowMissingColumns=True)
-    return L.explode_pages(both).groupBy("kind").agg(F.count("*").alias("adverts"), F.count_distinct("id").alias("ids"))
+    """Odd adverts come in pages, the others bare.
+
+    A task gathers a fixed number of listings or ids, however many there are: pages are made of flat listings and their adverts
+    where the page stands, and ids leave the joins before they are counted, whose tasks held sorted rows and all their ids at once.
+    """
+    rows, odd = listings(spark, sf), F.col("listing_id") % 2 == 1
+    tasks = table(spark, sf, "lineitem").count() // PAGED_ROWS + 1
+    dealt = rows.where(odd).select(F.floor(F.col("listing_id") / 40).alias("page"), F.struct(*rows.columns).alias("row")).repartition(tasks, "page")
+    pages = dealt.groupBy("page").agg(F.collect_list("row").alias("rows")).select(
+        F.transform("rows", lambda r: F.struct(*advert(lambda c: r[c]))).alias("data"))
+    both = pages.unionByName(rows.where(~odd).select(*advert()), allowMissingColumns=True)
+    return L.explode_pages(both).repartition(tasks, "id").groupBy("kind").agg(F.count("*").alias("adverts"), F.count_distinct("id").alias("ids"))
 
 
 @query("src_20_feed_detection", sql="SELECT 'adverts' AS feed, true AS is_listing_feed UNION ALL SELECT 'orders', false")
