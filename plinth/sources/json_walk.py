@@ -30,7 +30,8 @@ FOUND = "array<struct<table: string, key: string, record: variant, open: boolean
 
 
 def _as(kind: str, value: str = "v") -> str:
-    return f"try_variant_get({value}, '$', '{kind}')"
+    """A cast: outside compiled code a path would be parsed for each value."""
+    return f"try_cast({value} AS {kind})"
 
 
 def _filled(value: str) -> str:
@@ -49,11 +50,13 @@ def _found(table: str, record: str, key: str = "CAST(NULL AS string)", open_: bo
 def _level(nodes: DataFrame, depth: int) -> DataFrame:
     """One level of the walk: every open node becomes its tables' records or the nodes below it."""
     below = depth < MAX_DEPTH
-    named = ", ".join(f"try_variant_get(v, '$.{key}', 'variant')" for key in ENVELOPE)
+    keys = ", ".join(f"'{key}'" for key in ENVELOPE)
+    payloads = f"filter(transform(array({keys}), k -> try_element_at(object, k)), w -> {_filled('w')})"
     facts = nodes.withColumn("v", F.expr("if(open, record, NULL)")) \
-        .withColumns({"items": F.expr(_as(LIST)), "fields": F.expr(f"map_entries({_as(OBJECT)})")}) \
+        .withColumns({"items": F.expr(_as(LIST)), "object": F.expr(_as(OBJECT))}) \
+        .withColumn("fields", F.expr("map_entries(object)")) \
         .withColumns({
-            "wrapped": F.expr(f"try_element_at(filter(array({named}), w -> {_filled('w')}), 1)" if below else "CAST(NULL AS variant)"),
+            "wrapped": F.expr(f"CASE WHEN size(fields) > 0 THEN try_element_at({payloads}, 1) END" if below else "CAST(NULL AS variant)"),
             "lists": F.expr(f"filter(transform(fields, e -> named_struct('key', e.key, 'items', {_as(LIST, 'e.value')})), e -> size(e.items) > 0)"),
             "indexed": F.expr(f"size(fields) > 0 AND forall(fields, e -> {_as(OBJECT, 'e.value')} IS NOT NULL)")})
     same_length = "size(array_distinct(transform(lists, l -> size(l.items)))) = 1"
@@ -175,15 +178,17 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
         return {}
     spark = rows.sparkSession
     target = spark.createDataFrame(placed, "table string, shape array<string>, target string")
-    places = shaped.join(F.broadcast(target), ["table", "shape"])  # at most MAX_SHAPES rows
-    sorted_out = cut_lineage(rows.join(places.select("table", "file", "target"), ["table", "file"]))
+    places = cut_lineage(shaped.join(F.broadcast(target), ["table", "shape"]).select("table", "file", "target"))  # at most MAX_SHAPES rows of target
+    sorted_out = cut_lineage(rows.join(places, ["table", "file"]))
     described = sorted_out.groupBy("target").agg(F.schema_of_variant_agg("record").alias("s"), F.count("key").alias("keyed")).collect()
     return {r["target"]: as_columns(sorted_out.where(F.col("target") == r["target"]), r["s"], r["keyed"] > 0) for r in described}
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The filled lines (file, bytes, at, document); the generator is a fence, so that no line is parsed again for a filter."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("document"), F.monotonically_increasing_id().alias("at"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("at"),
+                        F.inline(F.array(F.struct(F.try_parse_json("value").alias("document")))))
 
 
 def documents(spark: SparkSession, path: str | list[str], by_lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -198,10 +203,9 @@ def documents(spark: SparkSession, path: str | list[str], by_lines: bool = False
     """
     lines = _lines(spark, path)
     ok = F.col("document").isNotNull()
-    size = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).groupBy("file").agg(F.max("bytes").alias("bytes"))
     facts = cut_lineage(lines.groupBy("file").agg(
-        F.count("*").alias("lines"), F.count_if(ok).alias("sound"), F.min_by(ok, "at").alias("first"))
-        .join(size, "file").withColumn("open", ~F.col("first") & (F.col("sound") * 2 <= F.col("lines")) & (F.col("bytes") <= MAX_DOCUMENT)))
+        F.count("*").alias("lines"), F.count_if(ok).alias("sound"), F.min_by(ok, "at").alias("first"), F.max("bytes").alias("bytes"))
+        .withColumn("open", ~F.col("first") & (F.col("sound") * 2 <= F.col("lines")) & (F.col("bytes") <= MAX_DOCUMENT)))
     tried = [r["file"] for r in facts.where("open").select("file").collect()]  # as many names as one-document files, as Spark's own listing
     empty = spark.createDataFrame([], "file string, document variant")
     whole = spark.read.text([unquote(f) for f in tried], wholetext=True).select(
@@ -212,9 +216,10 @@ def documents(spark: SparkSession, path: str | list[str], by_lines: bool = False
         "file", "lines", F.when(F.col("whole"), 0).otherwise(F.col("lines") - F.col("sound")).alias("damaged"), F.coalesce("whole", F.lit(False)).alias("whole"))
     listed = F.to_variant_object(F.array("document"))
     record = F.col("document") if by_lines else F.when(F.col("lines") == 1, F.col("document")).otherwise(listed)
-    single = lines.where(ok).join(manifest.select("file", "lines", "whole"), "file").where("NOT whole").select("file", record.alias("document"))
     stem = F.regexp_extract(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), r"([^/]+?)(\.[^./]*)?(/part-[^/]*)?$", 1)  # the folder's of a written table
-    docs = whole.unionByName(single).withColumn("stem", stem).select("file", F.expr(_safe("stem")).alias("name"), "document")
+    named = manifest.where("NOT whole").withColumn("stem", stem).select("file", "lines", F.expr(_safe("stem")).alias("name"))  # once for each file
+    single = lines.where(ok).join(named, "file").select("file", "name", record.alias("document"))
+    docs = whole.withColumn("stem", stem).select("file", F.expr(_safe("stem")).alias("name"), "document").unionByName(single)
     return docs, manifest
 
 
