@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
 from itertools import groupby
 
@@ -41,6 +42,8 @@ BATCH_FROM = 4
 WORDS, GATHERED = 200_000, 1_000_000
 # Members of one inverted list, or sets of one cluster, that meet in one task.
 LIST_BLOCK, SET_BLOCK = 512, 256
+# Standard deviations by which unrelated sets must differ in more cells of their bitmaps than linked ones may.
+CELL_MARGIN = 5
 # Bits of the filter that spares most classes without a partner the way of their set.
 FILTER_BITS = 1 << 24
 
@@ -97,12 +100,26 @@ def similar(common: int, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """Parity of the shingles of each cell; cells: the next power of two to half the set, 64 at least.
+def parity_cells(size: int, percent: int) -> int:
+    """Cells of the bitmap of a set: the least power of two, 64 at least, that tells unrelated sets from linked ones.
 
-    Two unrelated sets then differ in about a quarter of their size in cells, linked ones in less than 0.17.
+    Taken for the largest partner of the set, with which it may differ in most.  Unrelated pairs that pass would
+    tie clusters together, ever larger ones the more documents there are.
     """
-    cells = max(64, 1 << (len(tokens) - 1).bit_length() - 1 if len(tokens) > 1 else 64)
+    largest = size * 100 / percent
+    linked, cells = largest - size, 64
+
+    def unrelated(cells: int) -> float:
+        return cells / 2 * (1 - math.exp(-2 * (size + largest) / cells))
+
+    while cells < 2 * size and unrelated(cells) - CELL_MARGIN * math.sqrt(cells) / 2 < linked:
+        cells *= 2
+    return cells
+
+
+def parity(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """Parity of the shingles of each cell of the bitmap."""
+    cells = parity_cells(len(tokens), percent)
     counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
@@ -181,7 +198,7 @@ def short_lists(docs: DataFrame, text_col: str, gram: int, percent: int, frequen
                 else:
                     ranked = tokens
                 first = ranked[:len(tokens) - least_overlap(len(tokens), percent) + 1]
-                out.append((key, len(tokens), parity(tokens), first.view(np.int64)))
+                out.append((key, len(tokens), parity(tokens, percent), first.view(np.int64)))
             if out:
                 ends = np.cumsum([0, *(len(o[3]) for o in out)]).astype(np.int32)
                 yield pa.record_batch([
