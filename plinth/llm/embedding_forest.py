@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 The trees are fitted on a bounded sample and index every vector: a node projects on a random
-direction and splits at the sample's median; what lies near the median goes both ways.  Vectors
+direction and splits at the sample's median; what lies near the median goes both ways.  A vector
+travels once to each small subtree that it reaches, and goes on to the leaves there.  Vectors
 of one leaf are compared exactly, in pairs of blocks where a leaf is large, and the links of all
 trees are joined to components.  Within a component every pair is compared once more, block by
 block, so that a vector's number of links does not depend on the tree that found it.
@@ -24,15 +25,17 @@ from plinth.llm.ngram_join import EDGES, in_blocks
 SAMPLE = 20_000
 TREES, LEAF, SPILL = 16, 200, 0.06
 MAX_DEPTH = 48
+# Vectors of a subtree that go to one task together, as the sample tells.
+SUBTREE = 8192
 # Vectors of a leaf or component that meet in one task.
 BLOCK = 1024
 
 
 class Tree:
-    """Directions, thresholds and children of the inner nodes; a negative child is leaf -1 - child."""
+    """Directions, thresholds and children of the inner nodes, and whether a subtree is small; a negative child is a leaf."""
 
     def __init__(self, sample: np.ndarray, rows: int, rng: np.random.Generator, leaf: int, spill: float):
-        self.directions, self.low, self.high, self.children, self.leaves = [], [], [], [], 0
+        self.directions, self.low, self.high, self.children, self.small, self.leaves = [], [], [], [], [], 0
         self._grow(sample, rows / max(1, len(sample)), rng, leaf, spill, 0)
 
     def _grow(self, part: np.ndarray, scale: float, rng, leaf: int, spill: float, depth: int) -> int:
@@ -44,27 +47,37 @@ class Tree:
         low, high = np.quantile(projected, [0.5 - spill, 0.5 + spill])
         node = len(self.low)
         self.directions.append(direction), self.low.append(low), self.high.append(high), self.children.append((0, 0))
+        self.small.append(len(part) * scale <= SUBTREE)
         left, right = projected <= high, projected >= low
         if left.all() and right.all():  # nothing but ties: spilling would not end
             left = right = projected <= low
             right = ~left
             self.low[node] = self.high[node] = low
             if left.all():
-                self.directions.pop(), self.low.pop(), self.high.pop(), self.children.pop()
+                self.directions.pop(), self.low.pop(), self.high.pop(), self.children.pop(), self.small.pop()
                 self.leaves += 1
                 return -self.leaves
         self.children[node] = (self._grow(part[left], scale, rng, leaf, spill, depth + 1), self._grow(part[right], scale, rng, leaf, spill, depth + 1))
         return node
 
-    def place(self, vectors: np.ndarray):
-        """(rows, leaf) of all leaves that the vectors reach."""
-        todo = [(0 if self.low else -1, np.arange(len(vectors)))]
+    @classmethod
+    def of(cls, parts: tuple) -> Tree:
+        tree = object.__new__(cls)
+        tree.directions, tree.low, tree.high, tree.children, tree.small = parts
+        return tree
+
+    def top(self) -> int:
+        return 0 if self.low else -1
+
+    def place(self, vectors: np.ndarray, start: int, whole: bool):
+        """(rows, node) of all nodes below ``start`` that the vectors reach: leaves, or where not ``whole`` the first small subtrees too."""
+        todo = [(start, np.arange(len(vectors)))]
         while todo:
             node, rows = todo.pop()
             if not len(rows):
                 continue
-            if node < 0:
-                yield rows, -1 - node
+            if node < 0 or not whole and self.small[node]:
+                yield rows, node
                 continue
             projected = vectors[rows] @ self.directions[node]
             left, right = self.children[node]
@@ -100,51 +113,74 @@ def leaf_edges(classes: DataFrame, trees: int, leaf: int, spill: float, least: f
         return classes.sparkSession.createDataFrame([], EDGES)
     points = unit(matrix(sample.column("vec")))
     forest = [Tree(points, rows, np.random.default_rng([seed, t]), leaf, spill) for t in range(trees)]
-    plain = [(t.directions, t.low, t.high, t.children) for t in forest]
+    plain = [(t.directions, t.low, t.high, t.children, t.small) for t in forest]
     shared = classes.sparkSession.sparkContext.broadcast(plain)  # bounded by SAMPLE, TREES and MAX_DEPTH
 
     def place(batches):
-        grown = []
-        for directions, low, high, children in shared.value:
-            tree = object.__new__(Tree)
-            tree.directions, tree.low, tree.high, tree.children = directions, low, high, children
-            grown.append(tree)
+        grown = [Tree.of(parts) for parts in shared.value]
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = unit(matrix(batch.column("vec")))
-            for number, tree in enumerate(grown):
-                found = list(tree.place(vectors))
-                rows = np.concatenate([r for r, _ in found])
-                leaves = np.concatenate([np.full(len(r), k, dtype=np.int64) for r, k in found]) + (number << 32)
-                yield pa.record_batch([pa.array(leaves), batch.column("key").take(pa.array(rows)), batch.column("vec").take(pa.array(rows))],
-                                      names=["cell", "key", "vec"])
-
-    placed = classes.select("key", "vec").mapInArrow(place, "cell long, key binary, vec array<float>")
-    large = staged(placed.select("cell").groupBy("cell").count().where(F.col("count") > BLOCK), "leaves")
-    sized = placed.join(large, "cell", "left").withColumn("count", F.coalesce("count", F.lit(1)))
-    groups = in_blocks(sized, "count", BLOCK).select("cell", "x", "y", "key", "vec").groupBy("cell", "x", "y")
-
-    def compare(table: pa.Table) -> pa.Table:
+            found = [(rows, number, node) for number, tree in enumerate(grown) for rows, node in tree.place(vectors, tree.top(), whole=False)]
+            rows = np.concatenate([f[0] for f in found])
+            order = np.argsort(rows, kind="stable")
+            tree, node = (np.repeat(np.array([f[k] for f in found], dtype=np.int32), [len(f[0]) for f in found])[order] for k in (1, 2))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(vectors)))]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(tree), pa.array(node)], names=["tree", "node"]))
+            yield pa.record_batch([batch.column("key"), batch.column("vec"), cells], names=["key", "vec", "cells"])
+
+    placed = staged(classes.select("key", "vec").mapInArrow(place, "key binary, vec array<float>, cells array<struct<tree: int, node: int>>"), "placed")
+    reached = placed.select("key", "vec", F.inline("cells"))
+    large = staged(reached.where("node < 0").groupBy("tree", "node").count().where(F.col("count") > BLOCK), "leaves")
+    sized = reached.join(large, ["tree", "node"], "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    groups = in_blocks(sized, "count", BLOCK).select("tree", "node", "x", "y", "key", "vec").groupBy("tree", "node", "x", "y")
+
+    def compare(group: tuple, table: pa.Table) -> pa.Table:
+        number, start = group[0].as_py(), group[1].as_py()
         keys = table.column("key").to_pylist()
         vectors = unit(matrix(table.column("vec")))
-        near = vectors @ vectors.T >= least
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-        label = np.empty(len(keys), dtype=np.int64)
-        label[order] = np.arange(len(keys))
-        while True:  # smallest label among the neighbours, until nothing moves
-            new = np.where(near, label, len(keys)).min(axis=1)
-            new = np.minimum(new, label)
-            if (new == label).all():
-                break
-            label = new
-        root = order[label]
-        linked = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.table({"a": pa.array([keys[i] for i in linked], pa.binary()), "b": pa.array([keys[root[i]] for i in linked], pa.binary())})
+        rank = np.empty(len(keys), dtype=np.int64)
+        rank[order] = np.arange(len(keys))
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for rows, _ in Tree.of(shared.value[number]).place(vectors, start, whole=True):
+            for part in block_pairs(rows):
+                found.append(leaf_stars(vectors[part], rank[part], least))
+        edges = np.unique(np.concatenate(found), axis=0)
+        a, b = (pa.array([keys[i] for i in order[side]], pa.binary()) for side in edges.T)
+        return pa.table({"a": a, "b": b})
 
     return groups.applyInArrow(compare, EDGES)
 
 
+def block_pairs(rows: np.ndarray):
+    """The rows of a leaf, or of every pair of its blocks where it has more than two."""
+    if len(rows) <= 2 * BLOCK:
+        yield rows
+        return
+    blocks = np.array_split(rows, -(-len(rows) // BLOCK))
+    for i, block in enumerate(blocks):
+        for other in blocks[:i]:
+            yield np.concatenate([block, other])
+
+
+def leaf_stars(vectors: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (rank, smallest rank that it hangs together with) of the vectors that reach the cosine with another."""
+    near = vectors @ vectors.T >= least
+    np.fill_diagonal(near, False)
+    linked = np.flatnonzero(near.any(axis=1))
+    near, rank = near[np.ix_(linked, linked)], rank[linked]
+    label = rank
+    while True:  # smallest label among the neighbours, until nothing moves
+        new = np.minimum(np.where(near, label, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max), label)
+        if (new == label).all():
+            break
+        label = new
+    hang = label != rank
+    return np.stack([rank[hang], label[hang]], axis=1)
+
+
 def link_counts(members: DataFrame, least: float) -> DataFrame:
     """(key, links): per class the rows of other classes of its component that reach the cosine."""
     groups = in_blocks(members, "size", BLOCK).select("component", "x", "y", "mine", "key", "vec", "copies").groupBy("component", "x", "y")
